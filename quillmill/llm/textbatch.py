@@ -16,6 +16,9 @@ SLICE_BYTES = 2_000_000
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
+#: For plain words: everything in ASCII but letters and digits separates.
+_PLAIN = np.ones(256, dtype=bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -78,14 +81,17 @@ def slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
 
 
 class Words:
-    """The words of some texts: where each begins and ends, its hash, and the texts' ranges of words."""
+    """The words of some texts: where each begins and ends, its hash, and the texts' ranges of words.
 
-    def __init__(self, column: pa.Array, fold: bool = False):
+    plain: words are runs of letters, digits and non-ASCII bytes, and the hashes ignore the case of Latin letters.
+    """
+
+    def __init__(self, column: pa.Array, plain: bool = False):
         self.data, self.offsets = text_bytes(column)
         data, n = self.data, len(self.data)
         self.n_docs = len(self.offsets) - 1
         if n:
-            solid = ~_WS[data]
+            solid = ~(_PLAIN if plain else _WS)[data]
             before = np.empty(n, dtype=bool)
             before[0] = False
             before[1:] = solid[:-1]
@@ -102,9 +108,10 @@ class Words:
             self.starts = self.ends = np.zeros(0, dtype=np.int64)
         #: words of text i: bounds[i] .. bounds[i + 1]
         self.bounds = np.searchsorted(self.starts, self.offsets)
-        if fold and n:
+        if plain and n:
             upper = (data >= 65) & (data <= 90)
-            data = data + (upper * np.uint8(32)).astype(np.uint8)
+            upper[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            data = data + upper.astype(np.uint8) * np.uint8(32)
         self.hash = segment_hash(data, self.starts, self.ends) if n else np.zeros(0, dtype=np.uint64)
 
     @property
