@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import license_scan, repetition, simhash, token_cache
+from quillmill.llm import license_scan, recompression, repetition, simhash, token_cache
 from quillmill.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_repetition_rules": repetition.ORACLE_SQL, "op10_license_scan": license_scan.oracle(license_scan.TEMPLATES)}
+    return {"op1_substring_dedup": recompression.ORACLE_SQL, "op9_repetition_rules": repetition.ORACLE_SQL, "op10_license_scan": license_scan.oracle(license_scan.TEMPLATES)}
