@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import license_scan, recompression, repetition, simhash, token_cache
+from quillmill.llm import license_scan, packing, recompression, repetition, resampling, simhash, token_cache
 from quillmill.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -16,6 +16,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.retrieval_packs(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_cache.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 

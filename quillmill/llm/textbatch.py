@@ -19,6 +19,8 @@ _WS[[9, 10, 11, 12, 13, 32]] = True
 #: For plain words: everything in ASCII but letters and digits separates.
 _PLAIN = np.ones(256, dtype=bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: For words and punctuation: white space 0, plain words 1, runs of punctuation 2.
+_KIND = np.where(_WS, 0, np.where(_PLAIN, 2, 1)).astype(np.uint8)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -83,27 +85,22 @@ def slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, in
 class Words:
     """The words of some texts: where each begins and ends, its hash, and the texts' ranges of words.
 
-    plain: words are runs of letters, digits and non-ASCII bytes, and the hashes ignore the case of Latin letters.
+    plain: words are runs of letters, digits and non-ASCII bytes, and the hashes ignore the case of Latin letters;
+    with punct too, runs of punctuation are words as well.
     """
 
-    def __init__(self, column: pa.Array, plain: bool = False):
+    def __init__(self, column: pa.Array, plain: bool = False, punct: bool = False):
         self.data, self.offsets = text_bytes(column)
         data, n = self.data, len(self.data)
         self.n_docs = len(self.offsets) - 1
         if n:
-            solid = ~(_PLAIN if plain else _WS)[data]
-            before = np.empty(n, dtype=bool)
-            before[0] = False
-            before[1:] = solid[:-1]
-            first = self.offsets[:-1]
-            before[first[first < n]] = False
-            after = np.empty(n, dtype=bool)
-            after[-1] = False
-            after[:-1] = solid[1:]
-            last = self.offsets[1:]
-            after[last[last > 0] - 1] = False
-            self.starts = np.flatnonzero(solid & ~before)
-            self.ends = np.flatnonzero(solid & ~after) + 1
+            kind = _KIND[data] if punct else ~(_PLAIN if plain else _WS)[data]
+            turn = np.ones(n + 1, dtype=bool)
+            np.not_equal(kind[1:], kind[:-1], out=turn[1:-1])
+            turn[self.offsets] = True
+            solid = kind > 0
+            self.starts = np.flatnonzero(solid & turn[:-1])
+            self.ends = np.flatnonzero(solid & turn[1:]) + 1
         else:
             self.starts = self.ends = np.zeros(0, dtype=np.int64)
         #: words of text i: bounds[i] .. bounds[i + 1]
