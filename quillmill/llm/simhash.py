@@ -12,7 +12,7 @@ begin at every KEY_STEP-th bit, with the PROBE_BITS least certain bits of the ru
 
 Scale: fingerprints, not texts, are shuffled.  Documents with one fingerprint are joined as one first, so that
 thousands of copies cost no more than one.  Lookup, chains and Hamming check are a shuffled join of narrow rows
-in generated code.  What is broadcast is the table of document frequencies, 2**DF_BITS numbers for any corpus.
+in generated code.  What is broadcast is the table of document frequencies, which has one size for any corpus.
 """
 
 from __future__ import annotations
@@ -26,54 +26,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm.common import cut, fresh, text_key
-from quillmill.llm.textbatch import Words, mix, slices
+from quillmill.llm.stats import bucket, document_frequencies, features
+from quillmill.llm.textbatch import mix, slices
 
 BITS, SEGMENTS, MAX_BITS = 128, 16, 24
 #: Longest chain that is checked before the full distance.
 CHAIN = 6
 KEY_BITS, KEY_STEP, PROBE_BITS = 20, 12, 2
-DF_BITS = 18
 
-_HASH = np.uint64((1 << 48) - 1)
-
-
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """48-bit hashes of each text's distinct plain words, and the texts' ranges among them."""
-    words = Words(column, plain=True)
-    key = np.sort((words.doc.astype(np.uint64) << np.uint64(48)) | (words.hash >> np.uint64(16)))
-    if len(key):
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
-    return key & _HASH, np.searchsorted(key, np.arange(words.n_docs + 1, dtype=np.uint64) << np.uint64(48))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    df, n = np.zeros(1 << DF_BITS, dtype=np.int64), 0
-    for batch in batches:
-        for a, b in slices(batch.column(0)):
-            f, bounds = features(batch.column(0).slice(a, b - a))
-            df += np.bincount((f & np.uint64((1 << DF_BITS) - 1)).astype(np.int64), minlength=1 << DF_BITS)
-            n += int((np.diff(bounds) > 0).sum())
-    at = np.flatnonzero(df)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], names=["bucket", "df"])
-
-
-def word_weights(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse document frequency of each hash bucket of words, over all documents."""
-    rows = docs.select(docs[text].alias("text")).mapInArrow(_count, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(1 << DF_BITS)
-    words = rows[rows.bucket >= 0]
-    df[words.bucket.to_numpy()] = words.df.to_numpy()
-    n = int(rows[rows.bucket < 0].df.sum())
-    return np.log((n + 1) / (df + 0.5)).clip(0.05).astype(np.float32)
 
 
 def fingerprints(column: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signed sums for each bit, number of features) of each text; the fingerprint's bits are sums > 0."""
-    f, bounds = features(column)
+    f, _, bounds = features(column)
     n = len(bounds) - 1
     sums = np.zeros((n, BITS), dtype=np.float32)
-    w = weights[(f & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)]
+    w = weights[bucket(f)]
     at = 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + 40_000, side="right")) - 1)
@@ -134,29 +102,54 @@ def _fingerprinter(weights):
     return fingerprint.asNondeterministic()  # else it would run once for the filter and once for the columns
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From candidate pairs: each fingerprint of a near-duplicate pair with the least that pairs of this task connect it to.
+
+    However many pairs a group has, it leaves the task as one row for each member.
+    """
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = up = parent[up]
+            x = up
+        return x
+
     for batch in batches:
         for at in range(0, len(batch), 100_000):
             part = batch.slice(at, 100_000)
             x = np.stack([part.column(i).to_numpy() for i in range(4)], axis=1)
-            yield part.filter(pa.array(near(np.ascontiguousarray(x[:, :2]), np.ascontiguousarray(x[:, 2:]))))
+            x = x[near(np.ascontiguousarray(x[:, :2]), np.ascontiguousarray(x[:, 2:]))]
+            for pair in np.unique(np.ascontiguousarray(x).view("V32")).tolist() if len(x) else ():
+                a, b = root(pair[:16]), root(pair[16:])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    nodes = [x for x in list(parent) if root(x) != x]
+    if nodes:
+        pairs = np.frombuffer(b"".join(x + root(x) for x in nodes), dtype=np.int64).reshape(-1, 4)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in range(4)], names=["hi", "lo", "hi2", "lo2"])
 
 
 def fingerprint_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, k (text key), hi, lo, keys: written once, one row for each row of docs that has words."""
     spark = docs.sparkSession
-    weights = spark.sparkContext.broadcast(word_weights(docs, text))
+    weights = spark.sparkContext.broadcast(document_frequencies(docs, text).idf())
     rows = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("k"), _fingerprinter(weights)(docs[text]).alias("f"))
     return cut(rows.where("f.n > 0").select("doc_id", "k", "f.hi", "f.lo", "f.keys"))
 
 
-def near_pairs(sigs: DataFrame) -> DataFrame:
-    """(hi, lo, hi2, lo2): the near-duplicate pairs among distinct fingerprints with their keys, each once."""
+def candidates(sigs: DataFrame) -> DataFrame:
+    """(hi, lo, hi2, lo2): pairs of distinct fingerprints that have a key in common, once for each such key."""
     rows = sigs.select("hi", "lo", F.explode("keys").alias("key"))
     other = rows.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("key").alias("key2"))
     ordered = (F.col("hi") < F.col("hi2")) | ((F.col("hi") == F.col("hi2")) & (F.col("lo") < F.col("lo2")))
-    pairs = rows.join(other, (F.col("key") == F.col("key2")) & ordered).select("hi", "lo", "hi2", "lo2")
-    return pairs.mapInArrow(_check, "hi bigint, lo bigint, hi2 bigint, lo2 bigint").distinct()
+    return rows.join(other, (F.col("key") == F.col("key2")) & ordered).select("hi", "lo", "hi2", "lo2")
+
+
+def links(sigs: DataFrame) -> DataFrame:
+    """(a, b): pairs of fingerprints, as structs, that connect the same groups as all near-duplicate pairs do."""
+    found = candidates(sigs).mapInArrow(_connect, "hi bigint, lo bigint, hi2 bigint, lo2 bigint").distinct()
+    return found.select(F.struct("hi", "lo").alias("a"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo")).alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -180,12 +173,11 @@ def components(edges: DataFrame) -> DataFrame:
 def groups(prints: DataFrame) -> DataFrame:
     """doc_id, k, keeper (struct doc_id, k): for each document of a fingerprint table that has near-duplicates, the one of them with the least id."""
     me = F.struct("doc_id", "k")
-    sigs = cut(prints.groupBy("hi", "lo").agg(F.min(me).alias("node"), F.min_by("keys", me).alias("keys")))
-    pairs = near_pairs(sigs)
-    a = sigs.select("hi", "lo", F.col("node").alias("a"))
-    b = sigs.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("node").alias("b"))
-    roots = components(pairs.join(a, ["hi", "lo"]).join(b, ["hi2", "lo2"]).select("a", "b"))
-    named = sigs.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("keeper"))
+    sigs = cut(prints.groupBy("hi", "lo").agg(F.min(me).alias("first"), F.min_by("keys", me).alias("keys")))
+    roots = components(links(sigs))
+    named = sigs.select(F.struct("hi", "lo").alias("node"), "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    keepers = named.groupBy("root").agg(F.min("first").alias("keeper"))
+    named = named.join(keepers, "root").select(F.col("node.hi").alias("hi"), F.col("node.lo").alias("lo"), "keeper")
     return prints.select("doc_id", "k", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "k", "keeper")
 
 
