@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillmill.llm import license_scan, packing, recompression, repetition, resampling, simhash, token_cache
+from quillmill.llm import embedding_dedup, license_scan, packing, recompression, repetition, resampling, resharding, simhash, token_cache
 from quillmill.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -20,6 +21,10 @@ def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.retrieval_packs(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,11 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.weighted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of documents are the old shards; there are to be a quarter more, equally large."""
+    return resharding.reshard(table(spark, sf_dir, "documents"), F.regexp_extract(F.input_file_name(), "[^/]*$", 0), resharding.grown)
+
+
 def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
@@ -45,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": recompression.ORACLE_SQL, "op9_repetition_rules": repetition.ORACLE_SQL, "op10_license_scan": license_scan.oracle(license_scan.TEMPLATES)}
+    return {"op1_substring_dedup": recompression.ORACLE_SQL, "op4_embedding_dedup": embedding_dedup.ORACLE_SQL, "op9_repetition_rules": repetition.ORACLE_SQL, "op10_license_scan": license_scan.oracle(license_scan.TEMPLATES)}
