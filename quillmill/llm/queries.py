@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import embedding_dedup, license_scan, packing, recompression, repetition, resampling, resharding, simhash, token_cache
+from quillmill.llm import embedding_dedup, license_scan, packing, piece_sampling, recompression, repetition, resampling, resharding, simhash, token_cache
 from quillmill.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.retrieval_packs(table(spark, sf_dir, "documents"))
 
