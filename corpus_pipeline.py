@@ -1,23 +1,60 @@
-"""The corpus pipeline: quality rules, quality classifier, near-dedup, substring dedup, packing."""
+"""The corpus pipeline: documents in, packed training windows out.
+
+Each stage is (name, function) of STAGES; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's docs.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm import repetition
+from quillmill.llm import packing, recompression, repetition, resampling, simhash
+from quillmill.llm.common import shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat themselves go."""
     return repetition.repetition_filter(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the importance sample go."""
+    return resampling.resample(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates one document stays."""
+    return simhash.simhash_dedup(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand in an earlier place are cut."""
+    return recompression.substring_dedup(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Which words of which document stand in which training window."""
+    return packing.retrieval_packs(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("packing", pack),
+]
 
+#: No SQL: fingerprints, the sample's noise and BM25 with hashed frequencies aren't expressible; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """The stages applied to documents, each written and read again."""
+    docs, out = table(spark, sf_dir, "documents"), shared_dir(spark)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs.write.parquet(f"{out}/{i}-{name}")
+            docs = spark.read.parquet(f"{out}/{i}-{name}")
     return docs
