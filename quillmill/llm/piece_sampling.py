@@ -8,8 +8,8 @@ path is emitted, and what is left of it is split into sets whose values are draw
 paths is the threshold for which each emitted path has its inclusion score, the log probability to be among those
 above it.
 
-Lattices are made for the distinct units of a batch of texts: a text is cut wherever no piece of the vocabulary
-spans the two bytes on both sides, and units are independent.  Drawing paths through all units of all texts of a
+Lattices are made for distinct units, and kept in the worker for later batches: a text is cut wherever no piece of
+the vocabulary spans the two bytes on both sides, and units are independent.  Drawing paths through all units of all texts of a
 batch runs in numpy; the queue of a text is the only part in plain Python, a few entries for each sample.
 
 Random numbers are digests of the row's key, the sample's number and the place in the text: a row has the same
@@ -21,6 +21,7 @@ Scale: one pass without a shuffle.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.textbatch import mix, segment_hash, slices, text_bytes
+from quillmill.llm.textbatch import SegmentHash, mix, segment_hash, slices, text_bytes
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 97
 SLICE = 2_000_000
+#: Edges of lattices that a worker keeps.
+MAX_EDGES = 4_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,6 +100,7 @@ class Pieces:
         h = segment_hash(flat, ends - [len(p) for p in prefixes], ends)
         self.slots, self.slot_id = _table(h, np.array(list(prefixes.values()), dtype=np.int32))
         self.inside = inside.ravel()
+        self.store = Store()
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is that of a prefix, and the piece that the prefix is, or -1."""
@@ -140,7 +144,7 @@ class Lattice:
         local_end = byte_start[1:][unit]
         begins = (b & 0xC0) != 0x80
         start_list, stop_list, piece_list = [], [], []
-        alive = np.flatnonzero(begins)
+        alive, hashed = np.flatnonzero(begins), SegmentHash(b)
         one = np.zeros(len(b), dtype=bool)
         char_stop = np.append(np.flatnonzero(begins)[1:], len(b))
         stop_of = np.zeros(len(b) + 1, dtype=np.int64)
@@ -149,7 +153,7 @@ class Lattice:
             alive = alive[alive + length <= local_end[alive]]
             if not len(alive):
                 break
-            h = segment_hash(b, alive, alive + length)
+            h = hashed(alive, alive + length)
             known, piece = v.find(h)
             alive, piece = alive[known], piece[known].astype(np.int64)
             is_piece = piece >= 0
@@ -198,6 +202,52 @@ class Lattice:
         self.other = np.where(p >= 0.5, np.repeat(np.add.reduceat(small, heads), size) if len(p) else p, 1.0 - p)
 
 
+class Store:
+    """Lattices of the units that a worker met so far, in one set of arrays; most words of a text were met before.
+
+    Past MAX_EDGES it begins anew, which bounds its memory.
+    """
+
+    def __init__(self):
+        self.known = self.index = None
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.index = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self._full = {"piece": np.zeros(0, np.int32), "to": np.zeros(0, np.int32), "logp": np.zeros(0), "cum": np.zeros(0), "other": np.zeros(0), "off": np.zeros(1, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64)}
+        self._size = dict.fromkeys(self._full, 0) | {"off": 1}
+        self._views()
+
+    def _views(self) -> None:
+        self.piece, self.to, self.logp, self.cum, self.other, self.off, self.start, self.end = (self._full[k][: self._size[k]] for k in self._full)
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        n, a = self._size[name], self._full[name]
+        if n + len(values) > len(a):
+            self._full[name] = a = np.concatenate((a[:n], np.zeros(max(n, 2 * len(values)), dtype=a.dtype)))
+        a[n : n + len(values)] = values
+        self._size[name] = n + len(values)
+
+    def units(self, v: Pieces, data: np.ndarray, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last node of each unit; hashes are sorted, and unit i is data[first[i]:last[i]]."""
+        if len(self.piece) > MAX_EDGES:
+            self.clear()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            lat = Lattice(v, data, first[new], last[new])
+            edges, nodes, count = self._size["piece"], self._size["off"] - 1, self._size["start"]
+            for name, values in (("piece", lat.piece), ("to", lat.to + nodes), ("logp", lat.logp), ("cum", lat.cum), ("other", lat.other), ("off", lat.off[1:] + edges), ("start", lat.node[:-1] + nodes), ("end", lat.node[1:] - 1 + nodes)):
+                self._append(name, values)
+            self._views()
+            self.known = np.insert(self.known, at[new], hashes[new])
+            self.index = np.insert(self.index, at[new], np.arange(count, count + int(new.sum())))
+            at = np.searchsorted(self.known, hashes)
+        return self.start[self.index[at]], self.end[self.index[at]]
+
+
 class Batch:
     """Some texts cut into units, with the lattices of the distinct ones."""
 
@@ -221,10 +271,10 @@ class Batch:
         self.doc = np.repeat(np.arange(len(size)), np.diff(self.unit_bounds))
         self.keys = keys
         h = segment_hash(data, self.first, self.last)
-        _, where, self.kind = np.unique(h, return_index=True, return_inverse=True)
-        self.lattice = Lattice(v, data, self.first[where], self.last[where])
-        self.start_node = self.lattice.node[self.kind]
-        self.end_node = self.lattice.node[self.kind + 1] - 1
+        distinct, where, kind = np.unique(h, return_index=True, return_inverse=True)
+        self.lattice = v.store
+        start, end = v.store.units(v, data, distinct, self.first[where], self.last[where])
+        self.start_node, self.end_node = start[kind], end[kind]
         #: place in its text of each unit's first byte
         self.place = (self.first - self.offsets[self.doc]).astype(np.uint64)
 
@@ -259,6 +309,22 @@ def uniform(key: np.ndarray, place: np.ndarray) -> np.ndarray:
     return ((mix(mix(place + _GOLDEN) ^ key) >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mix_one(x: int) -> int:
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _ALL
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
+def uniform_one(key: int, place: int) -> float:
+    """uniform() for one key and place, without numpy's cost for each call."""
+    return ((_mix_one(_mix_one(place + int(_GOLDEN) & _ALL) ^ key) >> 11) + 0.5) / (1 << 53)
+
+
 class Path:
     """Sampled segmentations of all texts of a batch: edges in order, each unit's range among them."""
 
@@ -298,11 +364,11 @@ def sample(v: Pieces, column: pa.Array, keys: np.ndarray, k: int = SAMPLES) -> t
     root = -np.log(-np.log(uniform(keys, np.full(n, 1 << 60, dtype=np.uint64))))
     found: list[list[tuple[int, float, float]]] = [[] for _ in range(n)]  # (path, log probability, perturbed)
     queues: list[list] = [[] for _ in range(n)]
-    draws = [0] * n
+    draws, int_keys = [0] * n, keys.tolist()
 
     def draw(i: int) -> float:
         draws[i] += 1
-        return float(uniform(keys[i : i + 1], np.array([(1 << 61) + draws[i]], dtype=np.uint64))[0])
+        return uniform_one(int_keys[i], (1 << 61) + draws[i])
 
     def span(path: Path, i: int) -> tuple[int, int]:
         return int(path.spans[i]), int(path.spans[i + 1])
@@ -310,8 +376,8 @@ def sample(v: Pieces, column: pa.Array, keys: np.ndarray, k: int = SAMPLES) -> t
     def push(i: int, rest: Rest, below: float) -> None:
         mass = float(rest.weights.sum())
         if mass > 0:
-            loc = np.log(mass)
-            heapq.heappush(queues[i], (-float(loc - np.log(-np.log(draw(i)) + np.exp(loc - below))), draws[i], rest))
+            loc = math.log(mass)
+            heapq.heappush(queues[i], (-(loc - math.log(-math.log(draw(i)) + math.exp(loc - below))), draws[i], rest))
 
     def emit(i: int, number: int, first: int, value: float) -> None:
         """Takes text i's way through that path, which parted from earlier ones before step first."""

@@ -47,12 +47,21 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+class SegmentHash:
+    """Order-sensitive hashes of segments of values; they depend on a segment's values alone."""
+
+    def __init__(self, values: np.ndarray):
+        up, self._down = _pow(len(values) + 1)
+        self._p = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self._p[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._p[ends] - self._p[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+
+
 def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order-sensitive hash of values[start:end] for each segment; depends on the values alone."""
-    up, down = _pow(len(values) + 1)
-    p = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=p[1:])
-    return mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """Hashes of values[start:end] for each segment."""
+    return SegmentHash(values)(starts, ends)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
