@@ -1,4 +1,8 @@
-"""The library's registered queries with their SQL equivalents."""
+"""The library's registered queries, each with the SQL that gives the same rows.
+
+The tables hold no mail, so mail-shaped rows are derived from them by SQL that both engines run: MAIL makes messages
+of orders and customers, PEOPLE names, ITERATIONS a log of search iterations from events.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +11,801 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.functions import address as A
+from quillmill.functions import names as N
+from quillmill.functions import text as T
+from quillmill.functions import vocabulary as V
+from quillmill.operators import calendar as CAL
+from quillmill.operators import candidates as CAND
+from quillmill.operators import canonical as CAN
+from quillmill.operators import corpus as COR
+from quillmill.operators import entities as ENT
+from quillmill.operators import judge as J
+from quillmill.operators import rules as R
+from quillmill.plans.search import predicate
+from quillmill.sources import contacts as CON
+from quillmill.sources import payload as PAY
+from quillmill.sources import profile as PRO
+from quillmill.sources.schema import with_message_columns
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+_FIRST = "Jana,Bob,Emma,Leo,Mia,Carol,Helen,Sam"
+_LAST = "Smith,Reyes,Martin,Lee,Wong,Kim,Founder"
+_LOCAL = "jana.smith,noreply,info,bob+news,newsletter,calendar-notification,team-x,image001.png,mailer,hiro,Support,updates"
+_HOST = "gmail.com,corp.com,icloud.com,news.substack.com,calendar.google.com,example.org,yahoo.fr,google.com,Mail.Hubspotmail.net,redditads.com,abcdef0123.abcdef4567"
+_SUBJECT = "Re: order,Accepted: Mia birthday @ Thu May 28; 2026 9am,Invitation: Family Dinner,Weekly digest,Reminder: standup,family plans,Updated invitation: Anniversary,Canceled event: Trip"
+
+
+def _pick(words: str, n: str) -> str:
+    size = len(words.split(","))
+    return f"split_part('{words}', ',', CAST({n} % {size} AS INT) + 1)"
+
+
+def _header(k: str) -> str:
+    addr = f"{_pick(_LOCAL, k)} || '@' || {_pick(_HOST, k + ' * 5')}"
+    name = f"{_pick(_FIRST, k)} || ' ' || {_pick(_LAST, k + ' * 3')}"
+    return (
+        f"CASE {k} % 6 WHEN 0 THEN {name} || ' <' || {addr} || '>' WHEN 1 THEN '\"' || {name} || '\" <' || upper({addr}) || '>' WHEN 2 THEN {addr} "
+        f"WHEN 3 THEN 'undisclosed recipients' WHEN 4 THEN {addr} || ', me@example.com' ELSE NULL END"
+    )
+
+
+#: message_id, thread_id, from_addr, to_addr, subject, date, body, list_id, precedence, auto_submitted, source_account
+MAIL = f"""
+SELECT 'm' || CAST(o_orderkey AS STRING) AS message_id, 't' || CAST(o_orderkey % 997 AS STRING) AS thread_id,
+  {_header("o_custkey")} AS from_addr, {_header("(o_orderkey * 7)")} AS to_addr,
+  {_pick(_SUBJECT, "o_orderkey")} AS subject, CAST(CAST(o_orderdate AS DATE) AS STRING) AS date,
+  CASE o_orderkey % 4 WHEN 0 THEN 'Dear ' || {_pick(_FIRST, "o_orderkey")} || ', my sister Mia Wong says hi. As a law firm we write to jana.smith@gmail.com'
+    WHEN 1 THEN 'See https://calendar.google.com/calendar/x. Jana Smith has accepted this invitation' WHEN 2 THEN lower(o_orderpriority) || ' ' || o_orderstatus ELSE 'Bob met Emma Lee. ' || o_orderpriority END AS body,
+  CASE WHEN o_orderkey % 11 = 0 THEN '<list.' || o_orderstatus || '>' WHEN o_orderkey % 11 = 1 THEN '  ' END AS list_id,
+  CASE o_orderkey % 13 WHEN 0 THEN ' Bulk ' WHEN 1 THEN 'first-class' WHEN 2 THEN 'junk' END AS precedence,
+  CASE o_orderkey % 17 WHEN 0 THEN 'auto-replied' WHEN 1 THEN ' No ' END AS auto_submitted,
+  CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'home' ELSE 'work' END AS source_account
+FROM {{orders}}
+"""
+
+_RAW_NAMES = "Dr. Smith,Clinton St,Jane Trumpington,IBM,Ryan Rigney Marketing,mom,Coinbase Wealth,Park,Kelly Ebeling Founder/CEO Intro,Mitra Mitra Martin,Branson Bollinger Wagmi Intro Call,Aunt Carol!,Web3 Labs,NASAX people,Google Cloud Platform,Anna Maria Lopez Diaz,vitalik,Acme Inc,The And,'Bob Lee',Zo,x,Founder,Sam Lee CEO Founder"
+#: id, raw (a name as it is found), title (of an event)
+PEOPLE = f"""
+SELECT p_partkey AS id, {_pick(_RAW_NAMES.replace("'", "''"), "p_partkey")} || CASE WHEN p_partkey % 5 = 0 THEN ' ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2, 5)) ELSE '' END AS raw,
+  {_pick(_FIRST, "p_partkey")} || CASE p_partkey % 4 WHEN 0 THEN '''s birthday ' WHEN 1 THEN ' family dinner ' WHEN 2 THEN ' standup ' ELSE ' wedding ' END || p_name AS title
+FROM {{part}}
+"""
+
+#: run, n, parent, recap, new_messages, new_entities, new_persons, hits
+ITERATIONS = f"""
+SELECT user_id % 20 AS run, event_id AS n,
+  CASE event_id % 5 WHEN 0 THEN 'SEED' WHEN 1 THEN 'person:' || {_pick(_FIRST, "(event_id * 3)")} WHEN 2 THEN 'email:a' || CAST(event_id % 3 AS STRING) || '@gmail.com' ELSE 'email:b' || CAST(event_id % 4 AS STRING) || '@corp.com' END AS parent,
+  round(CAST(CAST(floor(value * 7) AS BIGINT) % 101 AS DOUBLE) / 100, 2) AS recap, CASE WHEN event_id % 3 = 0 THEN 0 ELSE CAST(floor(value) AS BIGINT) % 4 END AS new_messages,
+  CASE WHEN event_id % 29 = 0 THEN 25 ELSE CAST(floor(value * 3) AS BIGINT) % 5 END AS new_entities, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS new_persons, event_id % 6 AS hits
+FROM {{events}}
+"""
+
+
+def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Rows of one of the texts above."""
+    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in sql}
+    return spark.sql(sql, **used)
+
+
+def _duck(sql: str) -> str:
+    return sql.format(**{t: t for t in TABLES})
+
+
+_WITH = f"WITH mail AS ({_duck(MAIL)}), people AS ({_duck(PEOPLE)}), iterations AS ({_duck(ITERATIONS)})\n"
+
+
+def query(sql: str | None):
+    """Registers a function of (spark, sf_dir); sql may use mail, people and iterations."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = _WITH + sql if sql.lstrip().startswith("SELECT") else _WITH.rstrip() + ", " + sql
+        return f
+
+    return add
+
+
+def _table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _mail(spark, sf):
+    headers = F.map_filter(F.create_map(F.lit("List-ID"), "list_id", F.lit("PRECEDENCE"), "precedence", F.lit("auto-submitted"), "auto_submitted", F.lit("Subject"), "subject"), lambda k, v: v.isNotNull())
+    return derived(spark, sf, MAIL).withColumn("headers", headers)
+
+
+def _list(entries) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(entries)) + "]"
+
+
+# --- search ------------------------------------------------------------------------------------------------------
+
+SEARCH = 'the "of the" OR from:src1 and OR subject:de "und der"'
+
+
+@query(
+    "SELECT doc_id, source, lang FROM documents WHERE (contains(lower(text), 'the') AND contains(lower(text), 'of the')) OR (contains(lower(source), 'src1') AND contains(lower(text), 'and')) "
+    "OR (contains(lower(lang), 'de') AND contains(lower(text), 'und der'))"
+)
+def search_documents(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.where(predicate(SEARCH, d["text"], {"from_addr": d["source"], "subject": d["lang"]})).select("doc_id", "source", "lang")
+
+
+@query(
+    "SELECT message_id FROM mail WHERE (contains(lower(coalesce(from_addr, '')), 'jana') AND contains(lower(subject), 'family')) OR contains(lower(subject || chr(10) || coalesce(from_addr, '') || chr(10) || "
+    "coalesce(to_addr, '') || chr(10) || body), 'mia wong') OR (contains(lower(coalesce(to_addr, '')), 'gmail') AND contains(lower(coalesce(to_addr, '')), 'bob'))"
+)
+def search_mail(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.where(predicate('from:jana subject:family or "Mia Wong" OR cc:gmail bcc:"bob"')).select("message_id")
+
+
+@query("SELECT message_id FROM mail WHERE false")
+def search_nothing(spark, sf):
+    return derived(spark, sf, MAIL).where(predicate("OR or")).select("message_id")
+
+
+# --- addresses and bulk mail -------------------------------------------------------------------------------------
+
+_ADDR = r"lower(CASE WHEN regexp_extract(trim(coalesce({0}, '')), '<([^<>@\s]+@[^<>@\s]+)>', 1) <> '' THEN regexp_extract(trim(coalesce({0}, '')), '<([^<>@\s]+@[^<>@\s]+)>', 1) ELSE regexp_extract(trim(coalesce({0}, '')), '([^\s<>,;]+@[^\s<>,;]+)', 1) END)"
+_PARTS = rf"""parts AS (SELECT *, CASE WHEN contains(a, '@') THEN regexp_extract(a, '^(.*)@', 1) ELSE '' END AS local, CASE WHEN contains(a, '@') THEN regexp_extract(a, '@([^@]*)$', 1) ELSE '' END AS host
+  FROM (SELECT *, {_ADDR.format("from_addr")} AS a FROM mail))"""
+_PERSONAL = f"list_contains({_list(V.PERSONAL_DOMAINS)}, host)"
+_CALENDAR = "(local IN ('calendar', 'calendar-noreply', 'calendar-notification') AND (host = 'google.com' OR ends_with(host, '.google.com')))"
+_SYSTEM = rf"regexp_matches(local, '(?i)^({A.SYSTEM_LOCALS})\b')"
+_HOSTS = "|".join(h.replace(".", "\\.") for h in A.BULK_HOSTS)
+_BARE = "|".join(h.replace(".", "\\.") for h in A.BULK_BARE_HOSTS)
+_BULK = rf"CASE WHEN a = '' THEN false WHEN {_CALENDAR} THEN false WHEN {_PERSONAL} THEN {_SYSTEM} ELSE regexp_matches(local, '(?i)^({A.BULK_LOCALS})\b') OR regexp_matches(host, '(?i)(\.({_HOSTS})|^({_BARE}))$') END"
+
+
+@query(f"{_PARTS} SELECT message_id, a AS address, local AS local_part, host AS domain, {_PERSONAL} AS personal FROM parts")
+def address_parts(spark, sf):
+    m = derived(spark, sf, MAIL)
+    a = A.address(m["from_addr"])
+    return m.select("message_id", a.alias("address"), A.local_part(a).alias("local_part"), A.domain(a).alias("domain"), A.is_personal_domain(A.domain(a)).alias("personal"))
+
+
+@query(f"{_PARTS} SELECT message_id, {_SYSTEM} AS system_local, {_CALENDAR} AS calendar_mailer, {_BULK} AS bulk FROM parts")
+def bulk_senders(spark, sf):
+    m = derived(spark, sf, MAIL)
+    local = A.local_part(A.address(m["from_addr"]))
+    return m.select("message_id", A.is_system_local(local).alias("system_local"), A.is_calendar_mailer(m["from_addr"]).alias("calendar_mailer"), A.is_bulk_sender(m["from_addr"]).alias("bulk"))
+
+
+_OWN = "'info@corp.com'"
+_BULK_MESSAGE = f"""CASE WHEN {_CALENDAR} THEN false WHEN a = {_OWN} THEN false WHEN a <> '' AND {_PERSONAL} AND NOT {_SYSTEM} THEN false WHEN trim(coalesce(list_id, '')) <> '' THEN true
+  WHEN lower(trim(coalesce(precedence, ''))) IN ('bulk', 'list', 'junk') THEN true WHEN lower(trim(coalesce(auto_submitted, ''))) NOT IN ('', 'no') THEN true ELSE {_BULK} END"""
+_REPLY = r"""(regexp_matches(lower(trim(subject)), '^(updated invitation|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)') AND (contains(lower(body), 'calendar.google.com/calendar')
+  OR contains(lower(body), 'has accepted this invitation') OR contains(lower(body), 'has declined this invitation') OR contains(lower(body), 'invitation from google calendar')))"""
+
+
+@query(f"{_PARTS} SELECT message_id, {_BULK_MESSAGE} AS bulk, {_REPLY} AS calendar_reply, NOT {_REPLY} AND {_BULK_MESSAGE} AS is_bulk FROM parts")
+def bulk_messages(spark, sf):
+    m = _mail(spark, sf)
+    bulk, reply = A.is_bulk_message(m["headers"], m["from_addr"], ["Info Desk <info@corp.com>"]), T.is_calendar_reply(m["subject"], m["body"])
+    return m.select("message_id", bulk.alias("bulk"), reply.alias("calendar_reply"), (~reply & bulk).alias("is_bulk"))
+
+
+_IMG = "bmp|gif|jpeg|jpg|png|svg|tiff|webp"
+
+
+@query(
+    rf"{_PARTS} SELECT a AS address, contains(a, '@') AND local <> '' AND host <> '' AND (regexp_matches(local, '(?i)^image\d+\.({_IMG})$') OR regexp_matches(local, '(?i)^image\d+_') OR regexp_matches(local, '(?i)^part\d+\.\d+') "
+    rf"OR regexp_matches(local, '(?i)\.({_IMG})\b') OR regexp_matches(host, '(?i)^[0-9a-f]{{8,}}\.[0-9a-f]{{8,}}$')) AS inline_image, count(*) AS n FROM parts GROUP BY ALL"
+)
+def inline_images(spark, sf):
+    m = derived(spark, sf, MAIL)
+    a = A.address(m["from_addr"])
+    return m.select(a.alias("address"), A.is_inline_image(a).alias("inline_image")).groupBy("address", "inline_image").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"{_PARTS} SELECT message_id, local <> '' AND host <> '' AND a NOT IN ('calendar@google.com', 'calendar-noreply@google.com', 'calendar-notification@google.com') AND NOT ends_with(host, '.calendar.google.com') "
+    "AND local NOT IN ('noreply', 'no-reply', 'donotreply', 'support') AS attendee FROM parts"
+)
+def attendee_addresses(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.select("message_id", A.is_attendee_address(A.address(m["from_addr"])).alias("attendee"))
+
+
+_FOUND = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '[\w.+-]+@[\w-]+\.[\w.-]+'), lambda x: lower(x))))"
+
+
+@query(f"SELECT doc_id, array_to_string({_FOUND.format('text')}, ' ') AS addresses FROM documents WHERE len({_FOUND.format('text')}) > 0")
+def addresses_in_documents(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select("doc_id", A.addresses_in(d["text"]).alias("found")).where(F.size("found") > 0).select("doc_id", F.array_join("found", " ").alias("addresses"))
+
+
+_HDR = "lower(nullif(regexp_extract(coalesce({0}, ''), '([A-Za-z0-9._+\\-]+@[A-Za-z0-9.\\-]+)', 1), ''))"
+_ANY = f"len(list_filter(list_concat(regexp_extract_all(coalesce(from_addr, ''), '[A-Za-z0-9._+\\-]+@([A-Za-z0-9.\\-]+)', 1), regexp_extract_all(coalesce(to_addr, ''), '[A-Za-z0-9._+\\-]+@([A-Za-z0-9.\\-]+)', 1)), lambda h: list_contains({_list(V.PERSONAL_DOMAINS)}, trim(lower(h), '.')))) > 0"
+
+
+@query(f"SELECT message_id, {_HDR.format('to_addr')} AS first_address, coalesce(list_contains({_list(V.PERSONAL_DOMAINS)}, regexp_extract({_HDR.format('to_addr')}, '@(.*)$', 1)), false) AS first_personal, {_ANY} AS any_personal FROM mail")
+def personal_headers(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.select("message_id", A.header_address(m["to_addr"]).alias("first_address"), A.header_is_personal(m["to_addr"]).alias("first_personal"), A.any_personal(m["from_addr"], m["to_addr"]).alias("any_personal"))
+
+
+@query(
+    r"""SELECT message_id, CASE WHEN starts_with(d, '"') AND ends_with(d, '"') AND length(d) > 1 THEN trim(substr(d, 2, length(d) - 2)) ELSE d END AS display FROM
+    (SELECT message_id, regexp_extract(coalesce(from_addr, ''), '^\s*(.+?)\s*<[^<>]+@[^<>]+>\s*$', 1) AS d FROM mail)"""
+)
+def sender_displays(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.select("message_id", A.sender_display(m["from_addr"]).alias("display"))
+
+
+# --- names -------------------------------------------------------------------------------------------------------
+
+_TRIM = "trim({0}, '.,;:!?')"
+_CLEAN = f"""clean AS (
+  SELECT id, raw, title, s, CASE WHEN len(w) = 0 THEN [] ELSE w[coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains({_list(V.LEADING_TITLES)}, lower(rtrim(w[i], '.'))))), len(w) + 1):] END AS rest
+  FROM (SELECT *, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS w FROM (SELECT id, raw, title, trim(rtrim(trim(trim(raw), '"''`'), '.,;:!?')) AS s FROM people))
+), cleaned AS (
+  SELECT id, raw, title, array_to_string(CASE WHEN len(rest) <= 1 THEN rest ELSE rest[:greatest(1, coalesce(list_max(list_filter(range(1, len(rest) + 1), lambda i: NOT list_contains({_list(V.ROLE_TAILS)}, lower(rtrim(rest[i], '.,;:!?'))))), 0))] END, ' ') AS name FROM clean
+)"""
+
+
+@query(f"{_CLEAN} SELECT id, name, lower(name) AS key FROM cleaned")
+def cleaned_names(spark, sf):
+    p = derived(spark, sf, PEOPLE)
+    name = N.canonical_label(N.clean_person(p["raw"]))
+    return p.select("id", name.alias("name"), F.lower(name).alias("key"))
+
+
+def _any(list_: str, entries) -> str:
+    return f"len(list_filter({list_}, lambda x: list_contains({_list(entries)}, x))) > 0"
+
+
+_STOP = f"""CASE WHEN length(s) < 2 THEN true WHEN len(t) = 1 AND s = upper(s) AND upper(s) <> lower(s) THEN true WHEN regexp_matches(s, '[A-Z]{{4,}}') THEN true WHEN regexp_matches(s, '\\p{{Nd}}') THEN true
+  WHEN length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) < length(regexp_replace(s, '\\s', '', 'g')) * 0.5 THEN true WHEN s = lower(s) AND regexp_matches(s, '\\p{{L}}') THEN true
+  WHEN {_any("list_transform(t, lambda x: lower(trim(x, '.,')))", V.COMPANY_WORDS)} THEN true WHEN list_contains({_list(V.RELATIONS)}, lower(s)) THEN true
+  WHEN len(list_filter(l, lambda x: NOT list_contains({_list(V.COMMON_WORDS)}, x))) = 0 THEN true WHEN len(l) >= 2 AND (list_contains({_list(V.ORG_EDGE_WORDS)}, l[1]) OR list_contains({_list(V.ORG_EDGE_WORDS)}, l[-1])) THEN true
+  WHEN {_any("l", V.EVENT_PLACE_WORDS)} THEN true WHEN len(l) >= 2 AND {_any("l", V.SENDER_ORG_WORDS)} THEN true ELSE list_contains({_list(V.PUBLIC_NAMES)}, array_to_string(l, ' ')) END"""
+_TOKENS = f"tokens AS (SELECT *, list_transform(t, lambda x: lower({_TRIM.format('x')})) AS l FROM (SELECT *, name AS s, list_filter(regexp_split_to_array(name, '\\s+'), lambda x: x <> '') AS t FROM cleaned))"
+
+
+@query(f"{_CLEAN}, {_TOKENS} SELECT id, {_STOP} AS rejected, {_any('''list_transform(t, lambda x: lower(trim(x, '.,')))''', V.COMPANY_WORDS)} AS company FROM tokens")
+def rejected_names(spark, sf):
+    p = derived(spark, sf, PEOPLE).select("id", N.canonical_label(N.clean_person(F.col("raw"))).alias("name"))
+    return p.select("id", N.is_rejected(F.col("name")).alias("rejected"), N.has_company_word(F.col("name")).alias("company"))
+
+
+_LOOKS = r"len(t) BETWEEN 2 AND 4 AND len(list_filter(t, lambda x: regexp_matches(x, '^\p{Lu}') AND NOT regexp_matches(x, '\p{Nd}'))) = len(t)"
+
+
+@query(f"raws AS (SELECT id, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS t FROM people) SELECT id, {_LOOKS} AS looks_personal, {_LOOKS} AND NOT ({_any('''list_transform(t, lambda x: lower(trim(x, '.,;:!?')))''', V.SENDER_ORG_WORDS)}) AS sender_personal FROM raws")
+def personal_names(spark, sf):
+    p = derived(spark, sf, PEOPLE)
+    return p.select("id", N.looks_personal(p["raw"]).alias("looks_personal"), N.sender_is_personal(p["raw"]).alias("sender_personal"))
+
+
+@query(
+    f"""single AS (SELECT id, raw, list_transform(list_filter(range(1, len(t) + 1), lambda i: i = 1 OR lower(t[i]) <> lower(t[i - 1])), lambda i: t[i]) AS u FROM (SELECT id, raw, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS t FROM people)),
+    tails AS (SELECT id, raw, u[:coalesce(list_max(list_filter(range(1, len(u) + 1), lambda i: NOT list_contains({_list(V.ROLE_TAILS)}, lower(trim(u[i], '.,;:!?'))))), 0)] AS r FROM single),
+    named AS (SELECT id, CASE WHEN len(r) = 0 THEN raw WHEN len(r) >= 4 THEN array_to_string(r[:3], ' ') ELSE array_to_string(r, ' ') END AS name FROM tails)
+    SELECT id, name, CASE WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'unknown' ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM named"""
+)
+def normalised_names(spark, sf):
+    p = derived(spark, sf, PEOPLE)
+    return p.select("id", N.normalise(p["raw"]).alias("name"), N.slug(N.normalise(p["raw"])).alias("slug"))
+
+
+@query(
+    r"SELECT message_id, trim(regexp_replace(regexp_replace(trim(subject), '(?i)^\s*(updated invitation:?|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*', ''), '\s+@\s+[A-Z][a-z]{2,8}\s+[A-Z][a-z]{2,8}\s+\d{1,2};.*$', '')) AS title FROM mail"
+)
+def event_titles(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.select("message_id", F.regexp_replace(T.event_title(m["subject"]), r"\s+@\s+[A-Z][a-z]{2,8}\s+[A-Z][a-z]{2,8}\s+\d{1,2};.*$", "").alias("title"))
+
+
+@query(
+    f"""w AS (SELECT id, title, list_filter(regexp_split_to_array(regexp_replace(title, '[()\\[\\]{{}},;:!?.]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM people),
+    k AS (SELECT id, title, t, list_filter(list_transform(t, lambda x: lower(x)), lambda x: list_contains({_list(V.KINSHIP_WORDS)}, x)) AS kin FROM w),
+    o AS (SELECT id, kin, t, regexp_extract(title, '\\b([A-Z][A-Za-z''\\-]+)''s\\s+(\\w+)', 1) AS owner, lower(regexp_extract(title, '\\b([A-Z][A-Za-z''\\-]+)''s\\s+(\\w+)', 2)) AS following FROM k)
+    SELECT id, owner AS name, CASE WHEN list_contains({_list(V.KINSHIP_WORDS)}, following) THEN following ELSE 'possessive' END AS word, 'possessive_in_title' AS detector FROM o WHERE owner <> ''
+    UNION ALL SELECT id, x, kin[1], 'kinship_adjacent' FROM (SELECT id, kin, unnest(t) AS x, owner FROM o WHERE len(kin) > 0 AND owner = '') WHERE regexp_matches(x, '^[A-Z]') AND regexp_matches(x, '[a-z]') AND length(x) > 1
+      AND NOT list_contains({_list(V.TITLE_STOPWORDS | V.RELATION_ONLY_WORDS)}, lower(x))"""
+)
+def title_persons(spark, sf):
+    p = derived(spark, sf, PEOPLE)
+    return p.select("id", F.explode(N.names_in_title(p["title"])).alias("x")).select("id", "x.name", "x.word", "x.detector")
+
+
+@query(
+    """alias AS (SELECT unnest([['jana', 'smith'], ['bob'], ['emma', 'x', 'lee']]) AS a), cand AS (SELECT DISTINCT regexp_extract(coalesce(from_addr, ''), '^"?([A-Za-z]+ [A-Za-z]+)"? <', 1) AS name FROM mail),
+    toks AS (SELECT name, CASE WHEN ends_with(lower(name), ' founder') THEN [lower(split_part(name, ' ', 1))] ELSE string_split(lower(name), ' ') END AS t FROM cand WHERE name <> '')
+    SELECT name, array_to_string(a, ' ') AS alias, CASE WHEN t = a THEN 'exact' WHEN len(t) >= 2 AND len(a) >= 2 AND t[1] = a[1] AND t[-1] = a[-1] THEN 'first+last' WHEN (len(t) = 1 OR len(a) = 1) AND t[1] = a[1] THEN 'first-name' ELSE '' END AS rule FROM toks, alias"""
+)
+def self_matches(spark, sf):
+    names = derived(spark, sf, MAIL).select(A.sender_display(F.col("from_addr")).alias("name")).where("name <> ''").distinct()
+    alias = spark.createDataFrame([(["jana", "smith"],), (["bob"],), (["emma", "x", "lee"],)], "a array<string>")
+    return names.crossJoin(alias).select("name", F.array_join("a", " ").alias("alias"), N.matches_alias(N.alias_tokens(F.col("name")), F.col("a")).alias("rule"))
+
+
+@query(rf"SELECT message_id, regexp_matches(body, '{N.ORG_CONTEXT}') AS org_context FROM mail")
+def org_sentences(spark, sf):
+    m = derived(spark, sf, MAIL)
+    return m.select("message_id", N.is_org_sentence(m["body"]).alias("org_context"))
+
+
+# --- text --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?i)<script\b[^>]*/>', ' ', 'g'), '(?i)<style\b[^>]*/>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS digest FROM pages"
+)
+def pages_without_markup(spark, sf):
+    p = _table(spark, sf, "pages")
+    return p.select("page_id", F.md5(T.without_blocks(p["html"]).cast("binary")).alias("digest"))
+
+
+@query(None)
+def clean_pages(spark, sf):
+    p = _table(spark, sf, "pages")
+    return p.select("page_id", T.clean_html(p["html"]).alias("text"))
+
+
+@query("SELECT doc_id, md5(trim(split_part(text, chr(10), 1))) AS own FROM documents WHERE contains(trim(text), chr(10))")
+def replies_without_quotes(spark, sf):
+    """Documents as mails: the first line is written, the rest is what an attribution line introduces or > quotes."""
+    d = _table(spark, sf, "documents").where(F.instr(F.trim("text"), "\n") > 0)
+    first = F.substring_index("text", "\n", 1)
+    rest = F.substring(F.col("text"), F.length(first) + 2, F.length("text"))
+    quoted = F.concat(F.lit("> "), F.regexp_replace(rest, "\n", "\n> "))
+    mail = F.when(F.col("doc_id") % 2 == 0, F.concat(first, F.lit("\nOn Mon, Jan 5 someone wrote:\n"), rest)).otherwise(F.concat(first, F.lit("\n"), quoted, F.lit("\nSent from my iPhone")))
+    return d.select("doc_id", F.md5(T.without_quotes(mail).cast("binary")).alias("own"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''))), ' ') AS bag FROM conversations")
+def token_bags(spark, sf):
+    c = _table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.array_join(T.token_bag(c["text"]), " ").alias("bag"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN trim(substr(text, 1, 200)) || '...' ELSE trim(text) END AS snippet FROM documents")
+def document_snippets(spark, sf):
+    d = _table(spark, sf, "documents")
+    return d.select("doc_id", T.snippet(d["text"], 200, "...").alias("snippet"))
+
+
+_SENT = r"trim(regexp_extract(text, '(?i)[^.!?\n]*\b' || {0} || '\b[^.!?\n]*[.!?]?'))"
+
+
+@query(
+    f"term AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN 'and' ELSE 'reat' END AS t FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')), hit AS (SELECT doc_id, text, t, {_SENT.format('t')} AS s FROM term) "
+    "SELECT doc_id, CASE WHEN s <> '' AND length(s) > 220 THEN regexp_extract(substr(s, 1, 220), '(?s)^(.*) ', 1) || '...' WHEN s <> '' THEN s WHEN strpos(lower(text), t) > 0 THEN "
+    "trim(substr(text, greatest(1, strpos(lower(text), t) - 80), strpos(lower(text), t) + length(t) + 80 - greatest(1, strpos(lower(text), t) - 80)), ' ' || chr(10)) ELSE '' END AS sentence FROM hit"
+)
+def sentences_around(spark, sf):
+    d = _table(spark, sf, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    return d.select("doc_id", T.sentence_around(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "and").otherwise("reat")).alias("sentence"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_answers(spark, sf):
+    e = _table(spark, sf, "events")
+    return e.select("event_id", F.get_json_object(T.json_object(F.concat(F.lit("Here it is: "), e["props"], F.lit(" done"))), "$.k").cast("bigint").alias("k"))
+
+
+@query("SELECT event_id, CASE WHEN v < 24 THEN 'FRESH' WHEN v < 168 THEN 'STALE' ELSE 'OLD' END AS freshness, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', n / 1024.0) || ' KB' ELSE printf('%.1f', n / 1048576.0) || ' MB' END AS size FROM (SELECT event_id, value * 3 AS v, event_id * event_id * 7 AS n FROM events)")
+def freshness_and_size(spark, sf):
+    e = _table(spark, sf, "events")
+    return e.select("event_id", T.freshness(e["value"] * 3).alias("freshness"), T.file_size(e["event_id"] * e["event_id"] * 7).alias("size"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 40")
+def cosines(spark, sf):
+    e = _table(spark, sf, "embeddings")
+    a, b = e.alias("a"), e.alias("b")
+    pairs = a.where("vec_id < 40").join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(T.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
+
+
+# --- corpus and entities -----------------------------------------------------------------------------------------
+
+
+@query("SELECT 'sha256:' || sha256(string_agg(CAST(doc_id AS STRING) || chr(10), '' ORDER BY CAST(doc_id AS STRING))) AS fingerprint FROM (SELECT DISTINCT doc_id FROM documents)")
+def corpus_fingerprint(spark, sf):
+    return COR.fingerprint(_table(spark, sf, "documents"), "doc_id")
+
+
+@query("SELECT message_id, source_account FROM mail WHERE CAST(substr(message_id, 2) AS BIGINT) % 4 < 3")
+def corpus_add(spark, sf):
+    m = derived(spark, sf, MAIL)
+    n = F.substring("message_id", 2, 20).cast("bigint")
+    return COR.add(m.where(n % 4 == 0), m.where(n % 4 < 3).union(m.where(n % 4 == 1))).select("message_id", "source_account")
+
+
+@query(f"{_PARTS}, flagged AS (SELECT body, {_BULK_MESSAGE.replace(f'WHEN a = {_OWN} THEN false', '')} AS b FROM parts) SELECT count(*) AS n_messages, count(*) FILTER (b) AS n_bulk, sum(length(body)) AS n_chars FROM flagged")
+def corpus_sizes(spark, sf):
+    return COR.sizes(COR.flag_bulk(with_message_columns(_mail(spark, sf))))
+
+
+@query("SELECT source_account, count(*) AS n FROM (SELECT 'a' AS source_account FROM mail WHERE source_account = 'home' UNION ALL SELECT 'b' FROM mail WHERE source_account <> 'home') GROUP BY source_account")
+def account_union(spark, sf):
+    m = derived(spark, sf, MAIL)
+    both = COR.union_accounts({"a": m.where("source_account = 'home'"), "b": m.where("source_account <> 'home'")})
+    return COR.source_accounts(both).join(both.groupBy("source_account").agg(F.count("*").alias("n")), "source_account")
+
+
+_EMAILS = f"""found AS (SELECT DISTINCT message_id, unnest(list_concat({_FOUND.format("body")}, {_FOUND.format("coalesce(from_addr, '')")}, {_FOUND.format("coalesce(to_addr, '')")})) AS label FROM parts WHERE NOT ({_BULK})),
+mails AS (SELECT message_id, label FROM found WHERE NOT regexp_matches(label, '(?i)^image\\d+\\.({_IMG})@') AND NOT regexp_matches(label, '(?i)\\.({_IMG})@') AND NOT regexp_matches(label, '@[0-9a-f]{{8,}}\\.[0-9a-f]{{8,}}$'))"""
+
+
+@query(f"{_PARTS}, {_EMAILS} SELECT message_id, 'email' AS kind, label AS key, label, 'high' AS confidence FROM mails")
+def address_entities(spark, sf):
+    m = with_message_columns(derived(spark, sf, MAIL)).withColumn("is_bulk", A.is_bulk_sender(F.col("from_addr")))
+    return ENT.entities(m).where("kind = 'email'").select("message_id", "kind", "key", "label", "confidence")
+
+
+@query(None)
+def person_entities(spark, sf):
+    m = with_message_columns(derived(spark, sf, MAIL)).withColumn("is_bulk", A.is_bulk_sender(F.col("from_addr")))
+    return ENT.entities(m).where("kind = 'person'").select("message_id", "kind", "key", "label", "confidence")
+
+
+_ENTS = "ents AS (SELECT 'm' || o_orderkey % 500 AS message_id, CASE WHEN o_custkey % 2 = 0 THEN 'person' ELSE 'email' END AS kind, 'k' || o_custkey AS label, o_orderkey FROM orders)"
+
+
+def _ents(spark, sf):
+    return derived(spark, sf, "SELECT 'm' || CAST(o_orderkey % 500 AS STRING) AS message_id, CASE WHEN o_custkey % 2 = 0 THEN 'person' ELSE 'email' END AS kind, 'k' || CAST(o_custkey AS STRING) AS label, o_orderkey FROM {orders}").withColumn("key", F.col("label"))
+
+
+@query(f"{_ENTS}, old AS (SELECT DISTINCT kind, label FROM ents WHERE o_orderkey % 3 = 0), delta AS (SELECT DISTINCT kind, label FROM ents WHERE o_orderkey % 3 = 1) SELECT kind, label, 'new' AS state FROM (SELECT * FROM delta EXCEPT SELECT * FROM old) UNION ALL SELECT kind, label, 'known' FROM (SELECT * FROM delta INTERSECT SELECT * FROM old)")
+def entity_delta(spark, sf):
+    e = _ents(spark, sf)
+    old, delta = e.where("o_orderkey % 3 = 0").select("kind", "key", "label").distinct(), e.where("o_orderkey % 3 = 1")
+    new, known = ENT.new_entities(delta, old), ENT.recaptured(delta, old)
+    return new.withColumn("state", F.lit("new")).union(known.withColumn("state", F.lit("known"))).select("kind", "label", "state")
+
+
+@query(f"{_ENTS}, offered AS (SELECT DISTINCT kind || ':' || label AS p FROM ents WHERE o_orderkey % 5 = 0) SELECT o_orderkey AS id, parent_entity FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'person: ' || label ELSE kind || ':' || label END AS parent_entity FROM ents) WHERE parent_entity IN (SELECT p FROM offered)")
+def grounded_proposals(spark, sf):
+    e = _ents(spark, sf)
+    p = e.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("person: "), "label")).otherwise(F.concat_ws(":", "kind", "label")).alias("parent_entity"))
+    return ENT.grounded(p, e.where("o_orderkey % 5 = 0")).select("id", "parent_entity")
+
+
+@query("SELECT run, n, greatest(CAST(new_persons AS DOUBLE) / greatest(new_entities, 1), (CAST(greatest(hits, 1) AS DOUBLE) - new_messages) / greatest(hits, 1)) AS recap FROM iterations")
+def recapture_rates(spark, sf):
+    i = derived(spark, sf, ITERATIONS)
+    return i.select("run", "n", ENT.recapture_rate(F.col("new_entities"), F.col("new_persons"), F.col("hits"), F.col("new_messages")).alias("recap"))
+
+
+# --- canonical names ---------------------------------------------------------------------------------------------
+
+_LABELS = f"""labels_ AS (SELECT 'k' || CAST(label % 2 AS STRING) AS kind, {_pick(_FIRST, "vec_id")} || CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || {_pick(_LAST, "vec_id * 5")} ELSE ' ' || {_pick(_LAST, "vec_id * 5")} || ' ' || CAST(vec_id % 50 AS STRING) END AS label, min(vec_id) AS vec_id
+  FROM embeddings GROUP BY 1, 2), lv AS (SELECT kind, l.label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, string_split(lower(l.label), ' ') AS w FROM labels_ l JOIN embeddings USING (vec_id)),
+pairs AS (SELECT a.kind, a.label AS a, b.label AS b FROM lv a JOIN lv b ON a.kind = b.kind AND a.label < b.label AND length(a.label) >= 3 AND length(b.label) >= 3 AND a.w[:least(len(a.w), len(b.w))] = b.w[:least(len(a.w), len(b.w))] WHERE list_dot_product(a.v, b.v) >= 0.1)"""
+
+
+def _labels(spark, sf):
+    rows = derived(
+        spark, sf, f"SELECT 'k' || CAST(label % 2 AS STRING) AS kind, {_pick(_FIRST, 'vec_id')} || CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || {_pick(_LAST, 'vec_id * 5')} ELSE ' ' || {_pick(_LAST, 'vec_id * 5')} || ' ' || CAST(vec_id % 50 AS STRING) END AS label, vec_id, embedding FROM {{embeddings}}"
+    )
+    return rows.groupBy("kind", "label").agg(F.min_by("embedding", "vec_id").alias("vector"))
+
+
+@query(f"{_LABELS} SELECT kind, a, b FROM pairs")
+def variant_pairs(spark, sf):
+    return CAN.variant_pairs(_labels(spark, sf), 0.1)
+
+
+_REACH = f"{_LABELS}, both_ AS (SELECT kind, a, b FROM pairs UNION ALL SELECT kind, b, a FROM pairs), reach AS (SELECT kind, a AS label, a AS other FROM both_ UNION SELECT r.kind, r.label, e.b FROM reach r JOIN both_ e ON r.kind = e.kind AND r.other = e.a), canon AS (SELECT kind, label, first(other ORDER BY length(other) DESC, other) AS canonical FROM reach GROUP BY kind, label)"
+
+
+@query(f"{_REACH} SELECT kind, label, coalesce(canonical, label) AS canonical FROM labels_ LEFT JOIN canon USING (kind, label)")
+def canonical_names(spark, sf):
+    _checkpoints(spark)
+    return CAN.canonical_map(_labels(spark, sf), 0.1)
+
+
+@query(f"{_REACH}, full_ AS (SELECT kind, label, coalesce(canonical, label) AS canonical FROM labels_ LEFT JOIN canon USING (kind, label)) SELECT kind, lower(label) AS key, label FROM (SELECT *, row_number() OVER (PARTITION BY kind, canonical ORDER BY label <> canonical, label) AS r FROM full_) WHERE r = 1")
+def one_entity_a_name(spark, sf):
+    _checkpoints(spark)
+    labels = _labels(spark, sf)
+    return ENT.by_canonical(labels.select("kind", F.lower("label").alias("key"), "label"), CAN.canonical_map(labels, 0.1))
+
+
+def _checkpoints(spark) -> None:
+    """The session's folder for checkpoints, or one of the tests' own."""
+    import tempfile
+
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmill-"))
+
+
+@query("SELECT CASE WHEN vec_id % 2 = 0 THEN 'q' ELSE 'n' END || ':' || vec_id % 100 AS key, max(vec_id) AS latest FROM embeddings GROUP BY 1")
+def vector_upsert(spark, sf):
+    e = _table(spark, sf, "embeddings").select(F.concat(F.when(F.col("vec_id") % 2 == 0, "q").otherwise("n"), F.lit(":"), (F.col("vec_id") % 100).cast("string")).alias("key"), F.lit("query").alias("kind"), F.lit("m").alias("model_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("vector"), F.col("vec_id").cast("double").alias("created_at"))
+    half = F.lit(250.0)
+    return CAN.upsert_vectors(e.where(F.col("created_at") < half), e.where(F.col("created_at") >= half)).select("key", F.col("created_at").cast("bigint").alias("latest"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 7 = 0 AND label % 3 <> 1")
+def vector_lookup(spark, sf):
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("key"), F.concat(F.lit("k"), (F.col("label") % 3).cast("string")).alias("kind"), F.col("embedding").alias("vector"))
+    wanted = e.where(F.col("key").cast("bigint") % 7 == 0).select("key")
+    return CAN.get_vectors(CAN.delete_kind(e, "k1"), wanted.union(wanted)).select(F.col("key").cast("bigint").alias("vec_id"))
+
+
+# --- candidates --------------------------------------------------------------------------------------------------
+
+_ME = "'me@example.com'"
+_CORR = f"""dirs AS (SELECT contains(lower(coalesce(from_addr, '')), {_ME}) AS mine, contains(lower(coalesce(to_addr, '')), {_ME}) AS to_me, {_HDR.format("from_addr")} AS f, {_HDR.format("to_addr")} AS t FROM mail),
+sides AS (SELECT t AS email, 1 AS s FROM dirs WHERE mine AND NOT to_me AND list_contains({_list(V.PERSONAL_DOMAINS)}, regexp_extract(t, '@(.*)$', 1)) UNION ALL SELECT f, 0 FROM dirs WHERE to_me AND NOT mine AND list_contains({_list(V.PERSONAL_DOMAINS)}, regexp_extract(f, '@(.*)$', 1))),
+corr AS (SELECT email, count(*) FILTER (s = 1) AS sent, count(*) FILTER (s = 0) AS received FROM sides GROUP BY email HAVING sent >= 1 AND received >= 1 AND sent + received >= 3)"""
+
+
+@query(f"{_CORR} SELECT email, sent, received FROM corr")
+def correspondents(spark, sf):
+    return CAND.correspondents(derived(spark, sf, MAIL), ["Me@example.com"])
+
+
+@query(
+    f"{_CORR}, hits AS (SELECT email, message_id, row_number() OVER (PARTITION BY email ORDER BY date DESC, message_id) AS r FROM corr JOIN mail ON contains(lower(coalesce(from_addr, '') || chr(10) || coalesce(to_addr, '')), email)) SELECT email, message_id, r FROM hits WHERE r <= 8"
+)
+def correspondent_messages(spark, sf):
+    m = with_message_columns(derived(spark, sf, MAIL))
+    return CAND.correspondent_messages(m, CAND.correspondents(m, ["me@example.com"])).select("email", "message_id", "r")
+
+
+@query(
+    f"""names_ AS (SELECT unnest(['Jana Smith', 'Mia Wong', 'Emma Lee', 'Bob']) AS label), rows_ AS (SELECT message_id, lower(coalesce(from_addr || chr(10), '') || coalesce(to_addr, '')) AS head, lower(body) AS low, {_ANY} AS personal FROM mail)
+    SELECT label, message_id, contains(head, lower(split_part(label, ' ', 1))) AND (NOT contains(label, ' ') OR contains(head, lower(label))) AS in_header, contains(low, lower(label)) AS in_body, personal FROM names_, rows_
+    WHERE (contains(head, lower(split_part(label, ' ', 1))) AND (NOT contains(label, ' ') OR contains(head, lower(label)))) OR contains(low, lower(label))"""
+)
+def person_messages(spark, sf):
+    m = with_message_columns(derived(spark, sf, MAIL))
+    people = spark.createDataFrame([("Jana Smith",), ("Mia Wong",), ("Emma Lee",), ("Bob",)], "label string")
+    found = people.withColumn("message_id", F.lit(None).cast("string"))
+    return CAND.person_messages(m, found).where("message_id IS NOT NULL").select("label", "message_id", "in_header", "in_body", "personal")
+
+
+@query(None)
+def ranked_candidates(spark, sf):
+    _checkpoints(spark)
+    m = with_message_columns(derived(spark, sf, MAIL).where("CAST(substr(message_id, 2) AS BIGINT) % 10 = 0"))
+    found = ENT.entities(m)
+    best = CAND.ranked(m, found, CAN.identity_map(found), ["me@example.com"])
+    return CAND.profile_members(CAND.without_self(CAND.excerpts(best, m), CAND.self_aliases(m, "Leo Kim", "me@example.com"))).select("name", "n_messages", "bidirectional", "personal_domain", "calendar")
+
+
+@query("SELECT c_mktsegment AS tag, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'nation' || c_nationkey, count(*) FROM customer GROUP BY 1")
+def source_tags(spark, sf):
+    c = _table(spark, sf, "customer").select(F.concat(F.col("c_mktsegment"), F.lit("+nation"), F.col("c_nationkey").cast("string")).alias("source"))
+    return CAL.by_source_tag(c)
+
+
+@query("wanted AS (SELECT DISTINCT 'n' || s_nationkey || '@x.org' AS email FROM supplier), first_ AS (SELECT 'n' || c_nationkey || '@x.org' AS email, min(c_custkey) AS seq FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) SELECT email, seq FROM wanted LEFT JOIN first_ USING (email)")
+def contact_lookup(spark, sf):
+    c = _table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("seq"), F.col("c_name").alias("display_name"), F.array(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("@x.org"))).alias("emails"))
+    s = _table(spark, sf, "supplier").select(F.concat(F.lit(" N"), F.col("s_nationkey").cast("string"), F.lit("@X.org")).alias("email"))
+    return CAL.first_by_address(c, s).select("email", "seq")
+
+
+@query(
+    """SELECT c_custkey AS seq, greatest(CASE WHEN c_nationkey = 3 THEN 1.0 ELSE 0 END, CASE WHEN c_custkey % 7 = 0 THEN 0.9 ELSE 0 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.75 ELSE 0 END, CASE WHEN c_custkey % 5 = 0 THEN 0.7 ELSE 0 END, CASE WHEN c_custkey % 11 = 0 THEN 0.55 ELSE 0 END) AS strength,
+    array_to_string(list_filter([CASE WHEN c_nationkey = 3 THEN 'group_membership' END, CASE WHEN c_custkey % 7 = 0 THEN 'relations_field' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'biography' END, CASE WHEN c_custkey % 5 = 0 THEN 'surname' END, CASE WHEN c_custkey % 11 = 0 THEN 'starred' END], lambda x: x IS NOT NULL), '+') AS source FROM customer"""
+)
+def contact_signals(spark, sf):
+    """Customers as contacts in the form of an address book's JSON."""
+    c = _table(spark, sf, "customer")
+    groups = F.array_compact(F.array(F.when(F.col("c_nationkey") == 3, "contactGroups/family"), F.when(F.col("c_custkey") % 11 == 0, CON.STARRED), F.lit("contactGroups/x")))
+    person = F.to_json(
+        F.struct(
+            F.concat(F.lit("people/"), F.col("c_custkey").cast("string")).alias("resourceName"), F.array(F.struct(F.col("c_name").alias("displayName"), F.when(F.col("c_custkey") % 5 == 0, " SMITH ").otherwise("Lee").alias("familyName"))).alias("names"),
+            F.array(F.struct(F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit("@x.org")).alias("value"))).alias("emailAddresses"), F.transform(groups, lambda g: F.struct(F.struct(g.alias("contactGroupResourceName")).alias("contactGroupMembership"))).alias("memberships"),
+            F.when(F.col("c_custkey") % 7 == 0, F.array(F.struct(F.lit("Ann").alias("person"), F.lit("sister").alias("type")))).alias("relations"), F.array(F.struct(F.when(F.col("c_mktsegment") == "BUILDING", "my Sister-in-law").otherwise("masonry").alias("value"))).alias("biographies"),
+        )
+    )
+    return CON.signals(CON.contacts(c.select(F.col("c_custkey").alias("seq"), person.alias("json"))), "contactGroups/family", "Smith").select("seq", "strength", "source")
+
+
+@query("SELECT 'g' || r_regionkey AS resource_name FROM region WHERE r_name IN ('ASIA', 'EUROPE') ORDER BY r_regionkey DESC LIMIT 1")
+def family_group(spark, sf):
+    r = _table(spark, sf, "region")
+    name = F.when(F.col("r_name").isin("ASIA", "EUROPE"), "Our Family").when(F.col("r_name") == "AFRICA", "Family Office").otherwise("Families")
+    js = F.to_json(F.struct(F.concat(F.lit("g"), F.col("r_regionkey").cast("string")).alias("resourceName"), name.alias("formattedName"), (F.col("r_regionkey") * 10).cast("int").alias("memberCount")))
+    return CON.family_group(CON.groups(r.select(js.alias("json")))).select("resource_name")
+
+
+# --- rules -------------------------------------------------------------------------------------------------------
+
+_DOM = "CASE WHEN starts_with(parent, 'email:') AND contains(parent, '@') THEN regexp_extract(parent, '@([^@]*)$', 1) END"
+_BIZ = f"coalesce({_DOM} <> '' AND NOT list_contains({_list(V.PERSONAL_DOMAINS)}, {_DOM}), false)"
+_PERS = f"coalesce(list_contains({_list(V.PERSONAL_DOMAINS)}, {_DOM}), false)"
+_PW = "(PARTITION BY run, parent ORDER BY n"
+
+
+@query(
+    f"""a AS (SELECT *, {_BIZ} AS biz, {_PERS} AS pers, sum(CASE WHEN new_messages = 0 THEN 0 ELSE 1 END) OVER {_PW}) AS brk, count(*) OVER {_PW} ROWS 1 PRECEDING) = 2 AND min(recap) OVER {_PW} ROWS 1 PRECEDING) > 0.7 AND parent <> 'SEED' AS streak FROM iterations),
+    b AS (SELECT *, sum(CASE WHEN new_messages = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run, parent, brk ORDER BY n) AS dry FROM a),
+    c AS (SELECT *, CASE WHEN biz AND new_entities >= 20 THEN 'explosion' WHEN new_messages <> 0 THEN 'productive' WHEN biz AND recap >= 0.85 THEN 'business_recap' WHEN biz AND dry >= 2 THEN 'business_dry' WHEN parent <> 'SEED' AND recap >= 0.95 AND NOT pers THEN 'certain_recap' ELSE 'penalty' END AS rule FROM b),
+    d AS (SELECT *, CASE WHEN rule = 'penalty' THEN CASE WHEN new_entities = 0 THEN 2 ELSE 1 END ELSE 0 END AS pen FROM c)
+    SELECT run, n, parent, CASE WHEN recap > 0.7 AND parent <> 'SEED' THEN 0.3 ELSE 1.0 END AS score_factor, streak AS streak_prune, rule AS yield_rule, pen AS penalty, biz AND recap >= 0.7 AND new_entities = 0 AS business_drop,
+      greatest(0, CASE WHEN parent = 'SEED' THEN 5 WHEN pers THEN 5 ELSE 3 END - sum(pen) OVER {_PW})) AS budget_after_penalties FROM d"""
+)
+def parent_rules(spark, sf):
+    return R.parent_rules(derived(spark, sf, ITERATIONS)).select("run", "n", "parent", "score_factor", "streak_prune", "yield_rule", "penalty", "business_drop", "budget_after_penalties")
+
+
+_RW = "(PARTITION BY run ORDER BY n ROWS {0} PRECEDING)"
+
+
+@query(
+    f"""SELECT run, n, round(avg(recap) OVER {_RW.format(4)}, 6) AS average_recap, count(*) OVER {_RW.format(4)} = 5 AND round(avg(recap) OVER {_RW.format(4)}, 6) > 0.75 AS saturated,
+    count(*) OVER {_RW.format(4)} = 5 AND sum(CASE WHEN {_BIZ} THEN 1 ELSE 0 END) OVER {_RW.format(4)} >= 3 AND round(avg(recap) OVER {_RW.format(4)}, 6) > 0.5 AS business_bias,
+    CASE WHEN max(new_messages) OVER {_RW.format(2)} = 0 THEN 'frontier_exhausted_no_yield' ELSE 'frontier_exhausted_clean' END AS exhausted FROM iterations"""
+)
+def run_rules(spark, sf):
+    r = R.run_rules(derived(spark, sf, ITERATIONS))
+    # averages are compared as they are; at the limits themselves the engines' order of summation would decide
+    near = F.round("average_recap", 6)
+    return r.select("run", "n", near.alias("average_recap"), (F.col("saturated") & (near > 0.75)).alias("saturated"), (F.col("business_bias") & (near > 0.5)).alias("business_bias"), "exhausted")
+
+
+@query(
+    f"""h AS (SELECT *, sum(CASE WHEN new_persons = 0 THEN 0 ELSE 1 END) OVER {_PW}) AS brk FROM iterations WHERE hits > 0), s AS (SELECT *, sum(CASE WHEN new_persons = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run, parent, brk ORDER BY n) AS streak FROM h)
+    SELECT run, n, count(*) OVER {_RW.format(7)} = 8 AND sum(new_persons) OVER {_RW.format(7)} = 0 AS no_new_persons, parent <> 'SEED' AND NOT {_PERS} AND streak >= 2 AS unproductive FROM s"""
+)
+def person_rules(spark, sf):
+    return R.person_rules(derived(spark, sf, ITERATIONS)).select("run", "n", "no_new_persons", "unproductive")
+
+
+@query(f"SELECT run, parent FROM (SELECT run, parent, arg_max(recap, n) AS recap FROM iterations GROUP BY run, parent) WHERE {_BIZ} AND recap >= 0.85")
+def business_saturated(spark, sf):
+    return R.business_saturated(derived(spark, sf, ITERATIONS))
+
+
+_SAT = f"""last_ AS (SELECT run FROM (SELECT run, round(avg(recap) OVER {_RW.format(4)}, 6) AS a, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS r FROM iterations WHERE recap > 0.6) WHERE r = 1 AND a > 0.75),
+means AS (SELECT run, parent, avg(recap) AS m FROM iterations WHERE recap > 0.6 AND parent <> 'SEED' GROUP BY run, parent), kept AS (SELECT * FROM means WHERE run IN (SELECT run FROM last_)),
+lim AS (SELECT run, list_sort(list(m))[least(CAST(floor(count(*) * 0.8) AS INT), count(*) - 1) + 1] AS l FROM kept GROUP BY run)"""
+
+
+def _pending(i):
+    return i.groupBy("run", "parent").agg(F.count("*").alias("n_pending"))
+
+
+@query(f"{_SAT} SELECT run, parent, round(m, 6) AS mean_recap FROM kept JOIN lim USING (run) WHERE m >= l AND NOT {_PERS}")
+def saturated_parents(spark, sf):
+    i = derived(spark, sf, ITERATIONS).where("recap > 0.6")
+    return R.saturated_parents(i, _pending(i)).select("run", "parent", F.round("mean_recap", 6).alias("mean_recap"))
+
+
+@query(f"{_SAT} SELECT run FROM last_")
+def soft_saturated_runs(spark, sf):
+    i = derived(spark, sf, ITERATIONS).where("recap > 0.6")
+    return R.soft_saturated_runs(i, _pending(i))
+
+
+@query(f"SELECT run, place FROM (SELECT run, n AS place, {_BIZ} AS biz, row_number() OVER (PARTITION BY run, n // 50, {_BIZ} ORDER BY n) AS r FROM iterations) WHERE NOT biz OR r <= 5")
+def admitted_business(spark, sf):
+    i = derived(spark, sf, ITERATIONS)
+    return R.admitted_business(i.select("run", (F.floor(F.col("n") / 50)).alias("n"), F.col("n").alias("place"), "parent")).select("run", "place")
+
+
+@query(f"SELECT run, n, round(CASE WHEN {_PERS} THEN least(1.0, recap + 0.25) WHEN {_BIZ} THEN greatest(0.0, recap - 0.35) ELSE recap END, 6) AS score, CASE WHEN parent = 'SEED' THEN 5 WHEN {_PERS} THEN 5 ELSE 3 END AS budget FROM iterations")
+def pushed_scores(spark, sf):
+    i = derived(spark, sf, ITERATIONS)
+    return i.select("run", "n", F.round(R.pushed_score(F.col("recap"), F.col("parent")), 6).alias("score"), R.initial_budget(F.col("parent")).alias("budget"))
+
+
+@query(
+    """SELECT run, n, CASE WHEN new_entities * 30000 >= 500000 THEN 'budget_cap' WHEN hits * 10000000 >= 52428800 - 0 THEN NULL ELSE NULL END AS cap, CASE WHEN new_entities * 30000 >= 500000 THEN 'budget_cap' WHEN hits * 11000000 >= 52428800 THEN 'corpus_cap' WHEN n % 9 = 0 THEN 'frontier_exhausted_clean' WHEN n % 10 = 1 THEN 'no_new_persons_after_N'
+    WHEN n % 30 >= 25 THEN CASE WHEN n % 12 > 0 AND n % 8 > (n % 12) * 0.5 THEN 'iter_cap_throttled' WHEN n % 9 > 7 THEN 'iter_cap_uncontrolled' WHEN n % 9 < 5 THEN 'iter_cap_almost_done' ELSE 'iter_cap' END END AS stop FROM iterations"""
+)
+def stop_reasons(spark, sf):
+    i = derived(spark, sf, ITERATIONS)
+    n = F.col("n")
+    state = i.select("run", "n", (F.col("new_entities") * 30000).alias("tokens"), (F.col("hits") * 11000000).alias("chars"), (n % 9).alias("size"), F.lit("frontier_exhausted_clean").alias("exhausted"), (n % 10 == 1).alias("no_new_persons"), (n % 30).alias("iteration"), (n % 12).alias("executed"), (n % 8).alias("rejected"))
+    return R.stop_reason(state).select("run", "n", F.when(F.col("tokens") >= 500_000, "budget_cap").alias("cap"), "stop")
+
+
+# --- payloads, profiles, verdicts --------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(trim(text, ' ' || chr(10)) || chr(10) || chr(10) || lang) AS digest FROM documents")
+def payload_bodies(spark, sf):
+    """Documents as the plain part, two levels down, of a payload that has an HTML part as well, and their language as a second one."""
+    d = _table(spark, sf, "documents")
+
+    def part(mime: str, text) -> F.Column:
+        data = F.rtrim(F.translate(F.regexp_replace(F.base64(text.cast("binary")), r"\s", ""), "+/", "-_"), F.lit("="))
+        return F.concat(F.lit(f'{{"mimeType":"{mime}","body":{{"data":"'), data, F.lit('"}}'))
+
+    inner = F.concat(F.lit('{"mimeType":"multipart/alternative","parts":['), part("text/plain", F.trim(F.col("text"), F.lit(" \n"))), F.lit(","), part("text/html", F.lit("<b>x</b>")), F.lit("]}"))
+    tree = F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), inner, F.lit(","), part("TEXT/PLAIN", F.col("lang")), F.lit("]}"))
+    return d.select("doc_id", tree.alias("payload")).select("doc_id", F.md5(PAY.body("payload").cast("binary")).alias("digest"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00+02:00') AS iso FROM orders")
+def mail_dates(spark, sf):
+    o = _table(spark, sf, "orders")
+    text = F.concat(F.date_format("o_orderdate", "E"), F.lit(", "), F.date_format("o_orderdate", "d MMM yyyy"), F.lit(" 00:00:00 +0200 (CEST)"))
+    return o.select("o_orderkey", PAY.iso_date(text).alias("iso"))
+
+
+@query("SELECT c_custkey, 'b' || c_nationkey AS subject, CAST(2 AS INT) AS n FROM customer")
+def payload_headers(spark, sf):
+    c = _table(spark, sf, "customer")
+    own = F.concat(F.lit("b"), F.col("c_nationkey").cast("string"))
+    headers = F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in (("SUBJECT", F.lit("a")), ("To", F.lit("x")), ("X-Other", F.lit("y")), ("Subject ", own), ("Cc", F.lit(None)))])
+    kept = PAY.kept_headers(PAY.header_map(headers))
+    return c.select("c_custkey", kept["Subject"].alias("subject"), F.size(kept).alias("n"))
+
+
+_PROFILE = "profiles AS (SELECT source AS name, '---' || chr(10) || 'kind: x' || chr(10) || '---' || chr(10) || '## ' || source || chr(10) || string_agg('### ' || lang || ' ' || doc_id || chr(10) || substr(replace(text, chr(10), ' '), 1, 60), chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source)"
+
+
+def _profiles(spark, sf):
+    d = _table(spark, sf, "documents").withColumn("part", F.concat(F.lit("### "), F.col("lang"), F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60)))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "part"))), lambda x: x["part"]), "\n")
+    return d.groupBy(F.col("source").alias("name")).agg(parts.alias("t")).select("name", F.concat(F.lit("---\nkind: x\n---\n## "), "name", F.lit("\n"), "t").alias("text"))
+
+
+@query(f"{_PROFILE} SELECT source AS name, lang || ' ' || doc_id AS header FROM documents WHERE contains(lower(lang || ' ' || doc_id), 'fr 1') OR contains(lower(rtrim(substr(replace(text, chr(10), ' '), 1, 60))), 'fr 1')")
+def profile_persons(spark, sf):
+    return PRO.person_sections(_profiles(spark, sf), " FR 1").select("name", "header")
+
+
+@query(f"{_PROFILE} SELECT source AS name, count(*) AS n FROM documents WHERE contains(lower('### ' || lang || ' ' || doc_id || chr(10) || rtrim(substr(replace(text, chr(10), ' '), 1, 60))), 'the ') GROUP BY source")
+def profile_topics(spark, sf):
+    return PRO.profile_sections(_profiles(spark, sf)).where(F.lower("section").contains("the ")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"{_PROFILE} SELECT source AS name, CAST(count(*) AS INT) AS n_members FROM documents GROUP BY source")
+def profile_members(spark, sf):
+    return PRO.member_counts(_profiles(spark, sf))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'family' WHEN event_type = 'error' THEN 'uncertain' END AS decision, CASE WHEN event_type IN ('click', 'view', 'error') THEN greatest(0.0, least(1.0, CASE WHEN event_id % 4 = 0 THEN 0.5 ELSE value / 50 END)) END AS confidence FROM events")
+def verdicts(spark, sf):
+    e = _table(spark, sf, "events")
+    decision = F.when(F.col("event_type").isin("click", "view"), " Family ").when(F.col("event_type") == "error", "uncertain").otherwise("maybe")
+    js = F.to_json(F.struct(decision.alias("decision"), F.when(F.col("event_id") % 4 == 0, "high").otherwise((F.col("value") / 50).cast("string")).alias("confidence"), F.lit("").alias("relation_guess")))
+    return J.read_verdicts(e.select("event_id", js.alias("json"))).select("event_id", "verdict.decision", "verdict.confidence")
+
+
+@query(
+    """SELECT message_id, CASE WHEN k % 9 = 0 THEN 'family' WHEN ends_with(name, ' Smith') THEN 'family' WHEN k % 4 = 0 AND name LIKE 'Mia %' THEN 'family' WHEN k % 5 = 0 THEN 'uncertain' ELSE 'not_family' END AS decision,
+    CASE WHEN k % 9 = 0 THEN 'sibling' WHEN ends_with(name, ' Smith') THEN 'other' WHEN k % 4 = 0 AND name LIKE 'Mia %' THEN 'sibling' END AS relation_guess FROM
+    (SELECT message_id, CAST(substr(message_id, 2) AS BIGINT) AS k, CASE CAST(substr(message_id, 2) AS BIGINT) % 3 WHEN 0 THEN 'Mia Wong' WHEN 1 THEN 'Ann Smith' ELSE 'Leo Kim' END AS name FROM mail)"""
+)
+def judged_candidates(spark, sf):
+    m = derived(spark, sf, MAIL).withColumn("k", F.substring("message_id", 2, 20).cast("bigint"))
+    name = F.when(F.col("k") % 3 == 0, "Mia Wong").when(F.col("k") % 3 == 1, "Ann Smith").otherwise("Leo Kim")
+    contact = F.when(F.col("k") % 9 == 0, F.struct(F.lit(0.9).alias("strength"), F.lit(False).alias("in_family_group"), F.array(F.lit("Sister: Mia")).alias("relations"))).when(F.col("k") % 5 == 0, F.struct(F.lit(0.4).alias("strength"), F.lit(False).alias("in_family_group"), F.array(F.lit("x")).alias("relations")))
+    return J.judged(m.select("message_id", name.alias("canonical"), F.array("body").alias("texts"), contact.alias("contact")), "Smith", True).select("message_id", "decision", "relation_guess")
+
+
+@query(None)
+def calendar_mail_persons(spark, sf):
+    m = derived(spark, sf, MAIL)
+    body = F.concat("body", F.lit("\nGuests: "), F.coalesce("from_addr", F.lit("")), F.lit("\nLeo Kim <leo@gmail.com>"))
+    return m.select("message_id", F.explode(CAL.calendar_persons(F.col("subject"), body)).alias("p")).select("message_id", "p.name", "p.email", "p.source", "p.strength", "p.signal")
+
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.lower("text").contains("the")).select("doc_id", "source", "lang")
+@query(None)
+def calendar_event_persons(spark, sf):
+    p = derived(spark, sf, PEOPLE)
+    guest = F.struct(F.concat(F.lower(F.substring_index("title", " ", 1)), F.lit("@gmail.com")).alias("email"), F.lit(None).cast("string").alias("displayName"), F.lit(False).alias("self"), F.lit(False).alias("resource"), F.lit(False).alias("organizer"))
+    return CAL.listed_persons(CAL.event_persons(p.select(F.col("id").alias("event_id"), F.col("title").alias("summary"), F.array(guest).alias("attendees")))).select("name", "email", "n_events", "strength", "source")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: (v.replace("WITH mail AS", "WITH RECURSIVE mail AS", 1) if "reach AS" in v else v) for k, v in _SQL.items()}
