@@ -629,8 +629,8 @@ _PW = "(PARTITION BY run, parent ORDER BY n"
 
 
 @query(
-    f"""a AS (SELECT *, {_BIZ} AS biz, {_PERS} AS pers, sum(CASE WHEN new_messages = 0 THEN 0 ELSE 1 END) OVER {_PW}) AS brk, count(*) OVER {_PW} ROWS 1 PRECEDING) = 2 AND min(recap) OVER {_PW} ROWS 1 PRECEDING) > 0.7 AND parent <> 'SEED' AS streak FROM iterations),
-    b AS (SELECT *, sum(CASE WHEN new_messages = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run, parent, brk ORDER BY n) AS dry FROM a),
+    f"""a AS (SELECT *, {_BIZ} AS biz, {_PERS} AS pers, sum(CASE WHEN new_messages = 0 AND NOT ({_BIZ} AND new_entities >= 20) THEN 0 ELSE 1 END) OVER {_PW}) AS brk, count(*) OVER {_PW} ROWS 1 PRECEDING) = 2 AND min(recap) OVER {_PW} ROWS 1 PRECEDING) > 0.7 AND parent <> 'SEED' AS streak FROM iterations),
+    b AS (SELECT *, sum(CASE WHEN new_messages = 0 AND NOT (biz AND new_entities >= 20) THEN 1 ELSE 0 END) OVER (PARTITION BY run, parent, brk ORDER BY n) AS dry FROM a),
     c AS (SELECT *, CASE WHEN biz AND new_entities >= 20 THEN 'explosion' WHEN new_messages <> 0 THEN 'productive' WHEN biz AND recap >= 0.85 THEN 'business_recap' WHEN biz AND dry >= 2 THEN 'business_dry' WHEN parent <> 'SEED' AND recap >= 0.95 AND NOT pers THEN 'certain_recap' ELSE 'penalty' END AS rule FROM b),
     d AS (SELECT *, CASE WHEN rule = 'penalty' THEN CASE WHEN new_entities = 0 THEN 2 ELSE 1 END ELSE 0 END AS pen FROM c)
     SELECT run, n, parent, CASE WHEN recap > 0.7 AND parent <> 'SEED' THEN 0.3 ELSE 1.0 END AS score_factor, streak AS streak_prune, rule AS yield_rule, pen AS penalty, biz AND recap >= 0.7 AND new_entities = 0 AS business_drop,

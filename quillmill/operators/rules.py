@@ -65,13 +65,14 @@ def parent_rules(iterations: DataFrame) -> DataFrame:
     """
     business, personal, seed = is_business_parent(F.col("parent")), is_personal_parent(F.col("parent")), F.col("parent") == SEED
     dry = F.col("new_messages") == 0
-    rows = _streak(iterations, dry, "dry_streak")
+    exploded = business & (F.col("new_entities") >= BUSINESS_EXPLOSION)
+    rows = _streak(iterations, dry & ~exploded, "dry_streak")
     high = F.col("recap") > HIGH_RECAP
     streak = (F.count("*").over(_parent(STREAK)) == STREAK) & (F.min("recap").over(_parent(STREAK)) > HIGH_RECAP) & ~seed
     certain = ~seed & (F.col("recap") >= CERTAIN_RECAP) & ~personal
     dropped = business & (F.col("recap") >= BUSINESS_DROP) & (F.col("new_entities") == 0)
     yield_rule = (
-        F.when(business & (F.col("new_entities") >= BUSINESS_EXPLOSION), "explosion")
+        F.when(exploded, "explosion")
         .when(~dry, "productive")
         .when(business & (F.col("recap") >= BUSINESS_RECAP), "business_recap")
         .when(business & (F.col("dry_streak") >= STREAK), "business_dry")

@@ -78,12 +78,12 @@ def write_profile(document: str, folder: str, seed: str) -> str:
     return str(path.resolve())
 
 
-def write_status(path: str, **status) -> None:
+def write_status(file: str, /, **status) -> None:
     """Replaces a status file at once: readers see the old one or the new one."""
-    part = f"{path}.part"
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    part = f"{file}.part"
+    Path(file).parent.mkdir(parents=True, exist_ok=True)
     Path(part).write_text(json.dumps(status), encoding="utf-8")
-    os.replace(part, path)
+    os.replace(part, file)
 
 
 def read_status(path: str) -> dict | None:
