@@ -67,7 +67,7 @@ def parse(symbols: np.ndarray, doc: np.ndarray, full: int = FULL, rounds: int =
                 first, words = start[big] - part, length[big] + 2 * part
                 runs.append((name, first, -words))
                 more = words > MIN_WORDS + part
-                runs.append((name[more], first[more] + 1, 1 - words[more]))
+                runs.append((name[more], start[big][more] + 1, 1 - length[big][more]))
                 sym[big] = 0  # given already
             active = length < full
             link = (d[1:] == d[:-1]) & active[1:] & active[:-1]
@@ -108,13 +108,16 @@ def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = segment_hash(words.hash, words.bounds[long], words.bounds[long + 1])
             enough = size[d] >= MIN_WORDS
             sym, start, length, d = sym[enough], start[enough], length[enough], d[enough]
+            place = start - words.bounds[d]
+            before = np.minimum(place, 0)
+            place, length = place - before, length - before * np.sign(length)
             rows = np.concatenate([d, long])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([sym.view(np.int64), k[long]])),
                     part.column(0).take(pa.array(rows)),
                     pa.array(k[rows]),
-                    pa.array(np.concatenate([start - words.bounds[d], -1 - size[long]])),
+                    pa.array(np.concatenate([place, -1 - size[long]])),
                     pa.array(np.concatenate([length, whole.view(np.int64)])),
                 ],
                 names=["sym", "doc_id", "k", "a", "b"],
