@@ -426,7 +426,7 @@ def corpus_add(spark, sf):
     return COR.add(m.where(n % 4 == 0), m.where(n % 4 < 3).union(m.where(n % 4 == 1))).select("message_id", "source_account")
 
 
-@query(f"{_PARTS}, flagged AS (SELECT body, {_BULK_MESSAGE.replace(f'WHEN a = {_OWN} THEN false', '')} AS b FROM parts) SELECT count(*) AS n_messages, count(*) FILTER (b) AS n_bulk, sum(length(body)) AS n_chars FROM flagged")
+@query(f"{_PARTS}, flagged AS (SELECT body, {_BULK_MESSAGE.replace(f'WHEN a = {_OWN} THEN false', '')} AS b FROM parts) SELECT count(*) AS n_messages, count(*) FILTER (b) AS n_bulk, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM flagged")
 def corpus_sizes(spark, sf):
     return COR.sizes(COR.flag_bulk(with_message_columns(_mail(spark, sf))))
 
@@ -553,7 +553,7 @@ def correspondents(spark, sf):
 
 
 @query(
-    f"{_CORR}, hits AS (SELECT email, message_id, row_number() OVER (PARTITION BY email ORDER BY date DESC, message_id) AS r FROM corr JOIN mail ON contains(lower(coalesce(from_addr, '') || chr(10) || coalesce(to_addr, '')), email)) SELECT email, message_id, r FROM hits WHERE r <= 8"
+    f"{_CORR}, hits AS (SELECT email, message_id, row_number() OVER (PARTITION BY email ORDER BY date DESC, message_id) AS r FROM corr JOIN mail ON contains(lower(coalesce(from_addr, '') || chr(10) || coalesce(to_addr, '')), email)) SELECT email, message_id, CAST(r AS INT) AS r FROM hits WHERE r <= 8"
 )
 def correspondent_messages(spark, sf):
     m = with_message_columns(derived(spark, sf, MAIL))
@@ -595,7 +595,7 @@ def contact_lookup(spark, sf):
 
 
 @query(
-    """SELECT c_custkey AS seq, greatest(CASE WHEN c_nationkey = 3 THEN 1.0 ELSE 0 END, CASE WHEN c_custkey % 7 = 0 THEN 0.9 ELSE 0 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.75 ELSE 0 END, CASE WHEN c_custkey % 5 = 0 THEN 0.7 ELSE 0 END, CASE WHEN c_custkey % 11 = 0 THEN 0.55 ELSE 0 END) AS strength,
+    """SELECT c_custkey AS seq, CAST(greatest(CASE WHEN c_nationkey = 3 THEN 1.0 ELSE 0 END, CASE WHEN c_custkey % 7 = 0 THEN 0.9 ELSE 0 END, CASE WHEN c_mktsegment = 'BUILDING' THEN 0.75 ELSE 0 END, CASE WHEN c_custkey % 5 = 0 THEN 0.7 ELSE 0 END, CASE WHEN c_custkey % 11 = 0 THEN 0.55 ELSE 0 END) AS DOUBLE) AS strength,
     array_to_string(list_filter([CASE WHEN c_nationkey = 3 THEN 'group_membership' END, CASE WHEN c_custkey % 7 = 0 THEN 'relations_field' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'biography' END, CASE WHEN c_custkey % 5 = 0 THEN 'surname' END, CASE WHEN c_custkey % 11 = 0 THEN 'starred' END], lambda x: x IS NOT NULL), '+') AS source FROM customer"""
 )
 def contact_signals(spark, sf):
@@ -633,8 +633,8 @@ _PW = "(PARTITION BY run, parent ORDER BY n"
     b AS (SELECT *, sum(CASE WHEN new_messages = 0 AND NOT (biz AND new_entities >= 20) THEN 1 ELSE 0 END) OVER (PARTITION BY run, parent, brk ORDER BY n) AS dry FROM a),
     c AS (SELECT *, CASE WHEN biz AND new_entities >= 20 THEN 'explosion' WHEN new_messages <> 0 THEN 'productive' WHEN biz AND recap >= 0.85 THEN 'business_recap' WHEN biz AND dry >= 2 THEN 'business_dry' WHEN parent <> 'SEED' AND recap >= 0.95 AND NOT pers THEN 'certain_recap' ELSE 'penalty' END AS rule FROM b),
     d AS (SELECT *, CASE WHEN rule = 'penalty' THEN CASE WHEN new_entities = 0 THEN 2 ELSE 1 END ELSE 0 END AS pen FROM c)
-    SELECT run, n, parent, CASE WHEN recap > 0.7 AND parent <> 'SEED' THEN 0.3 ELSE 1.0 END AS score_factor, streak AS streak_prune, rule AS yield_rule, pen AS penalty, biz AND recap >= 0.7 AND new_entities = 0 AS business_drop,
-      greatest(0, CASE WHEN parent = 'SEED' THEN 5 WHEN pers THEN 5 ELSE 3 END - sum(pen) OVER {_PW})) AS budget_after_penalties FROM d"""
+    SELECT run, n, parent, CASE WHEN recap > 0.7 AND parent <> 'SEED' THEN CAST(0.3 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS score_factor, streak AS streak_prune, rule AS yield_rule, pen AS penalty, biz AND recap >= 0.7 AND new_entities = 0 AS business_drop,
+      CAST(greatest(0, CASE WHEN parent = 'SEED' THEN 5 WHEN pers THEN 5 ELSE 3 END - sum(pen) OVER {_PW})) AS BIGINT) AS budget_after_penalties FROM d"""
 )
 def parent_rules(spark, sf):
     return R.parent_rules(derived(spark, sf, ITERATIONS)).select("run", "n", "parent", "score_factor", "streak_prune", "yield_rule", "penalty", "business_drop", "budget_after_penalties")
@@ -669,7 +669,7 @@ def business_saturated(spark, sf):
 
 
 _SAT = f"""last_ AS (SELECT run FROM (SELECT run, round(avg(recap) OVER {_RW.format(4)}, 6) AS a, row_number() OVER (PARTITION BY run ORDER BY n DESC) AS r FROM iterations WHERE recap > 0.6) WHERE r = 1 AND a > 0.75),
-means AS (SELECT run, parent, avg(recap) AS m FROM iterations WHERE recap > 0.6 AND parent <> 'SEED' GROUP BY run, parent), kept AS (SELECT * FROM means WHERE run IN (SELECT run FROM last_)),
+big AS (SELECT run, count(*) AS size FROM iterations WHERE recap > 0.6 GROUP BY run), means AS (SELECT run, parent, avg(recap) AS m FROM iterations WHERE recap > 0.6 AND parent <> 'SEED' GROUP BY run, parent), kept AS (SELECT * FROM means WHERE run IN (SELECT run FROM last_) AND run IN (SELECT run FROM big WHERE size > 50)),
 lim AS (SELECT run, list_sort(list(m))[least(CAST(floor(count(*) * 0.8) AS INT), count(*) - 1) + 1] AS l FROM kept GROUP BY run)"""
 
 
@@ -683,7 +683,7 @@ def saturated_parents(spark, sf):
     return R.saturated_parents(i, _pending(i)).select("run", "parent", F.round("mean_recap", 6).alias("mean_recap"))
 
 
-@query(f"{_SAT} SELECT run FROM last_")
+@query(f"{_SAT} SELECT run FROM last_ JOIN big USING (run) WHERE size > 30")
 def soft_saturated_runs(spark, sf):
     i = derived(spark, sf, ITERATIONS).where("recap > 0.6")
     return R.soft_saturated_runs(i, _pending(i))
