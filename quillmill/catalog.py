@@ -125,7 +125,7 @@ def _list(entries) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in sorted(entries)) + "]"
 
 
-# --- search ------------------------------------------------------------------------------------------------------
+# == search
 
 SEARCH = 'the "of the" OR from:src1 and OR subject:de "und der"'
 
@@ -153,9 +153,9 @@ def search_nothing(spark, sf):
     return derived(spark, sf, MAIL).where(predicate("OR or")).select("message_id")
 
 
-# --- addresses and bulk mail -------------------------------------------------------------------------------------
+# == addresses and bulk mail
 
-_ADDR = r"lower(CASE WHEN regexp_extract(trim(coalesce({0}, '')), '<([^<>@\s]+@[^<>@\s]+)>', 1) <> '' THEN regexp_extract(trim(coalesce({0}, '')), '<([^<>@\s]+@[^<>@\s]+)>', 1) ELSE regexp_extract(trim(coalesce({0}, '')), '([^\s<>,;]+@[^\s<>,;]+)', 1) END)"
+_ADDR = f"lower(CASE WHEN regexp_extract(trim(coalesce({{0}}, '')), '{A.ANGLE_ADDRESS}', 1) <> '' THEN regexp_extract(trim(coalesce({{0}}, '')), '{A.ANGLE_ADDRESS}', 1) ELSE regexp_extract(trim(coalesce({{0}}, '')), '{A.BARE_ADDRESS}', 1) END)"
 _PARTS = rf"""parts AS (SELECT *, CASE WHEN contains(a, '@') THEN regexp_extract(a, '^(.*)@', 1) ELSE '' END AS local, CASE WHEN contains(a, '@') THEN regexp_extract(a, '@([^@]*)$', 1) ELSE '' END AS host
   FROM (SELECT *, {_ADDR.format("from_addr")} AS a FROM mail))"""
 _PERSONAL = f"list_contains({_list(V.PERSONAL_DOMAINS)}, host)"
@@ -216,7 +216,7 @@ def attendee_addresses(spark, sf):
     return m.select("message_id", A.is_attendee_address(A.address(m["from_addr"])).alias("attendee"))
 
 
-_FOUND = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '[\w.+-]+@[\w-]+\.[\w.-]+'), lambda x: lower(x))))"
+_FOUND = rf"list_sort(list_distinct(list_transform(regexp_extract_all({{0}}, '{A.NAME}@[-\w]+\.[-.\w]+'), lambda x: lower(x))))"
 
 
 @query(f"SELECT doc_id, array_to_string({_FOUND.format('text')}, ' ') AS addresses FROM documents WHERE len({_FOUND.format('text')}) > 0")
@@ -225,8 +225,8 @@ def addresses_in_documents(spark, sf):
     return d.select("doc_id", A.addresses_in(d["text"]).alias("found")).where(F.size("found") > 0).select("doc_id", F.array_join("found", " ").alias("addresses"))
 
 
-_HDR = "lower(nullif(regexp_extract(coalesce({0}, ''), '([A-Za-z0-9._+\\-]+@[A-Za-z0-9.\\-]+)', 1), ''))"
-_ANY = f"len(list_filter(list_concat(regexp_extract_all(coalesce(from_addr, ''), '[A-Za-z0-9._+\\-]+@([A-Za-z0-9.\\-]+)', 1), regexp_extract_all(coalesce(to_addr, ''), '[A-Za-z0-9._+\\-]+@([A-Za-z0-9.\\-]+)', 1)), lambda h: list_contains({_list(V.PERSONAL_DOMAINS)}, trim(lower(h), '.')))) > 0"
+_HDR = f"lower(nullif(regexp_extract(coalesce({{0}}, ''), '({A.NAME}@{A.HOST})', 1), ''))"
+_ANY = f"len(list_filter(list_concat(regexp_extract_all(coalesce(from_addr, ''), '{A.NAME}@({A.HOST})', 1), regexp_extract_all(coalesce(to_addr, ''), '{A.NAME}@({A.HOST})', 1)), lambda h: list_contains({_list(V.PERSONAL_DOMAINS)}, trim(lower(h), '.')))) > 0"
 
 
 @query(f"SELECT message_id, {_HDR.format('to_addr')} AS first_address, coalesce(list_contains({_list(V.PERSONAL_DOMAINS)}, regexp_extract({_HDR.format('to_addr')}, '@(.*)$', 1)), false) AS first_personal, {_ANY} AS any_personal FROM mail")
@@ -237,14 +237,14 @@ def personal_headers(spark, sf):
 
 @query(
     r"""SELECT message_id, CASE WHEN starts_with(d, '"') AND ends_with(d, '"') AND length(d) > 1 THEN trim(substr(d, 2, length(d) - 2)) ELSE d END AS display FROM
-    (SELECT message_id, regexp_extract(coalesce(from_addr, ''), '^\s*(.+?)\s*<[^<>]+@[^<>]+>\s*$', 1) AS d FROM mail)"""
+    (SELECT message_id, regexp_extract(coalesce(from_addr, ''), '^\s*(.+?)\s*<[^>]+>\s*$', 1) AS d FROM mail)"""
 )
 def sender_displays(spark, sf):
     m = derived(spark, sf, MAIL)
     return m.select("message_id", A.sender_display(m["from_addr"]).alias("display"))
 
 
-# --- names -------------------------------------------------------------------------------------------------------
+# == names
 
 _TRIM = "trim({0}, '.,;:!?')"
 _CLEAN = f"""clean AS (
@@ -293,7 +293,7 @@ def personal_names(spark, sf):
     f"""single AS (SELECT id, raw, list_transform(list_filter(range(1, len(t) + 1), lambda i: i = 1 OR lower(t[i]) <> lower(t[i - 1])), lambda i: t[i]) AS u FROM (SELECT id, raw, list_filter(regexp_split_to_array(raw, '\\s+'), lambda x: x <> '') AS t FROM people)),
     tails AS (SELECT id, raw, u[:coalesce(list_max(list_filter(range(1, len(u) + 1), lambda i: NOT list_contains({_list(V.ROLE_TAILS)}, lower(trim(u[i], '.,;:!?'))))), 0)] AS r FROM single),
     named AS (SELECT id, CASE WHEN len(r) = 0 THEN raw WHEN len(r) >= 4 THEN array_to_string(r[:3], ' ') ELSE array_to_string(r, ' ') END AS name FROM tails)
-    SELECT id, name, CASE WHEN trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'unknown' ELSE trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM named"""
+    SELECT id, name, CASE WHEN trim(regexp_replace(lower(name), '[^0-9a-z]+', '-', 'g'), '-') = '' THEN 'unknown' ELSE trim(regexp_replace(lower(name), '[^0-9a-z]+', '-', 'g'), '-') END AS slug FROM named"""
 )
 def normalised_names(spark, sf):
     p = derived(spark, sf, PEOPLE)
@@ -301,11 +301,11 @@ def normalised_names(spark, sf):
 
 
 @query(
-    r"SELECT message_id, trim(regexp_replace(regexp_replace(trim(subject), '(?i)^\s*(updated invitation:?|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*', ''), '\s+@\s+[A-Z][a-z]{2,8}\s+[A-Z][a-z]{2,8}\s+\d{1,2};.*$', '')) AS title FROM mail"
+    r"SELECT message_id, trim(regexp_replace(regexp_replace(trim(subject), '(?i)^\s*(updated invitation:?|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*', ''), '\s+@\s+[A-Za-z]+\s+[A-Za-z]+\s+\d+;.*$', '')) AS title FROM mail"
 )
 def event_titles(spark, sf):
     m = derived(spark, sf, MAIL)
-    return m.select("message_id", F.regexp_replace(T.event_title(m["subject"]), r"\s+@\s+[A-Z][a-z]{2,8}\s+[A-Z][a-z]{2,8}\s+\d{1,2};.*$", "").alias("title"))
+    return m.select("message_id", F.regexp_replace(T.event_title(m["subject"]), r"\s+@\s+[A-Za-z]+\s+[A-Za-z]+\s+\d+;.*$", "").alias("title"))
 
 
 @query(
@@ -338,11 +338,11 @@ def org_sentences(spark, sf):
     return m.select("message_id", N.is_org_sentence(m["body"]).alias("org_context"))
 
 
-# --- text --------------------------------------------------------------------------------------------------------
+# == text
 
 
 @query(
-    r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?i)<script\b[^>]*/>', ' ', 'g'), '(?i)<style\b[^>]*/>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS digest FROM pages"
+    r"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script(?:\b[^>]*)>.*?</(?:script)\s*>', ' ', 'g'), '(?is)<style(?:\b[^>]*)>.*?</(?:style)\s*>', ' ', 'g'), '(?i)<script\b[^>]*/>', ' ', 'g'), '(?i)<style\b[^>]*/>', ' ', 'g'), '<[^>]+>', ' ', 'g')) AS digest FROM pages"
 )
 def pages_without_markup(spark, sf):
     p = _table(spark, sf, "pages")
@@ -378,7 +378,7 @@ def document_snippets(spark, sf):
     return d.select("doc_id", T.snippet(d["text"], 200, "...").alias("snippet"))
 
 
-_SENT = r"trim(regexp_extract(text, '(?i)[^.!?\n]*\b' || {0} || '\b[^.!?\n]*[.!?]?'))"
+_SENT = r"trim(regexp_extract(text, '(?i)[^\n!.?]*\b' || {0} || '\b[^\n!.?]*[!.?]?'))"
 
 
 @query(
@@ -411,7 +411,7 @@ def cosines(spark, sf):
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(T.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
 
-# --- corpus and entities -----------------------------------------------------------------------------------------
+# == corpus and entities
 
 
 @query("SELECT 'sha256:' || sha256(string_agg(CAST(doc_id AS STRING) || chr(10), '' ORDER BY CAST(doc_id AS STRING))) AS fingerprint FROM (SELECT DISTINCT doc_id FROM documents)")
@@ -482,7 +482,7 @@ def recapture_rates(spark, sf):
     return i.select("run", "n", ENT.recapture_rate(F.col("new_entities"), F.col("new_persons"), F.col("hits"), F.col("new_messages")).alias("recap"))
 
 
-# --- canonical names ---------------------------------------------------------------------------------------------
+# == canonical names
 
 _LABELS = f"""labels_ AS (SELECT 'k' || CAST(label % 2 AS STRING) AS kind, {_pick(_FIRST, "vec_id")} || CASE vec_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || {_pick(_LAST, "vec_id * 5")} ELSE ' ' || {_pick(_LAST, "vec_id * 5")} || ' ' || CAST(vec_id % 50 AS STRING) END AS label, min(vec_id) AS vec_id
   FROM embeddings GROUP BY 1, 2), lv AS (SELECT kind, l.label, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, string_split(lower(l.label), ' ') AS w FROM labels_ l JOIN embeddings USING (vec_id)),
@@ -539,7 +539,7 @@ def vector_lookup(spark, sf):
     return CAN.get_vectors(CAN.delete_kind(e, "k1"), wanted.union(wanted)).select(F.col("key").cast("bigint").alias("vec_id"))
 
 
-# --- candidates --------------------------------------------------------------------------------------------------
+# == candidates
 
 _ME = "'me@example.com'"
 _CORR = f"""dirs AS (SELECT contains(lower(coalesce(from_addr, '')), {_ME}) AS mine, contains(lower(coalesce(to_addr, '')), {_ME}) AS to_me, {_HDR.format("from_addr")} AS f, {_HDR.format("to_addr")} AS t FROM mail),
@@ -620,7 +620,7 @@ def family_group(spark, sf):
     return CON.family_group(CON.groups(r.select(js.alias("json")))).select("resource_name")
 
 
-# --- rules -------------------------------------------------------------------------------------------------------
+# == rules
 
 _DOM = "CASE WHEN starts_with(parent, 'email:') AND contains(parent, '@') THEN regexp_extract(parent, '@([^@]*)$', 1) END"
 _BIZ = f"coalesce({_DOM} <> '' AND NOT list_contains({_list(V.PERSONAL_DOMAINS)}, {_DOM}), false)"
@@ -712,7 +712,7 @@ def stop_reasons(spark, sf):
     return R.stop_reason(state).select("run", "n", F.when(F.col("tokens") >= 500_000, "budget_cap").alias("cap"), "stop")
 
 
-# --- payloads, profiles, verdicts --------------------------------------------------------------------------------
+# == payloads, profiles, verdicts
 
 
 @query("SELECT doc_id, md5(trim(text, ' ' || chr(10)) || chr(10) || chr(10) || lang) AS digest FROM documents")

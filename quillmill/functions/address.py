@@ -31,6 +31,12 @@ CALENDAR_HOST = "google.com"
 
 _IMAGE = "bmp|gif|jpeg|jpg|png|svg|tiff|webp"
 
+#: Pieces of address patterns: what stands on either side of an @ between angle brackets, and bare.
+INSIDE, BARE = r"[^@<>\s]+", r"[^,;<>\s]+"
+ANGLE_ADDRESS, BARE_ADDRESS = f"<({INSIDE}@{INSIDE})>", f"({BARE}@{BARE})"
+NAME, HOST = r"[-+.\w]+", r"[-.A-Za-z0-9]+"
+_TAGGED, _HEX = "[^<>]+", "[0-9a-f]{8,}"
+
 
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
@@ -39,8 +45,8 @@ def _text(c: Column) -> Column:
 def address(header: Column) -> Column:
     """The address in a header: between angle brackets, else the first bare one; lower case, '' if there is none."""
     h = F.trim(_text(header))
-    angle = F.regexp_extract(h, r"<([^<>@\s]+@[^<>@\s]+)>", 1)
-    bare = F.regexp_extract(h, r"([^\s<>,;]+@[^\s<>,;]+)", 1)
+    angle = F.regexp_extract(h, ANGLE_ADDRESS, 1)
+    bare = F.regexp_extract(h, BARE_ADDRESS, 1)
     return F.lower(F.when(angle != "", angle).otherwise(bare))
 
 
@@ -102,7 +108,7 @@ def own_addresses(emails: Iterable[str] | None) -> list[str]:
     out = set()
     for raw in emails or ():
         raw = (raw or "").strip()
-        m = re.search(r"<([^<>@\s]+@[^<>@\s]+)>", raw) or re.search(r"([^\s<>,;]+@[^\s<>,;]+)", raw)
+        m = re.search(ANGLE_ADDRESS, raw) or re.search(BARE_ADDRESS, raw)
         if raw:
             out.add((m[1] if m else raw).lower())
     return sorted(out)
@@ -137,20 +143,20 @@ def is_inline_image(addr: Column) -> Column:
         | local.rlike(r"(?i)^image\d+_")
         | local.rlike(r"(?i)^part\d+\.\d+")
         | local.rlike(rf"(?i)\.(?:{_IMAGE})\b")
-        | host.rlike(r"(?i)^[0-9a-f]{8,}\.[0-9a-f]{8,}$")
+        | host.rlike(rf"(?i)^{_HEX}\.{_HEX}$")
     )
     return a.contains("@") & (local != "") & (host != "") & odd
 
 
 def addresses_in(text: Column) -> Column:
     """All addresses in a text: lower case, sorted, each once.  Trailing dots stay, as they are matched."""
-    found = F.regexp_extract_all(_text(text), F.lit(r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"), F.lit(0))
+    found = F.regexp_extract_all(_text(text), F.lit(rf"(?U){NAME}@[-\w]+\.[-.\w]+"), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
 def header_address(header: Column) -> Column:
     """The first address in a header by the plain ASCII pattern; null if there is none."""
-    found = F.regexp_extract(_text(header), r"([A-Za-z0-9._+\-]+@[A-Za-z0-9.\-]+)", 1)
+    found = F.regexp_extract(_text(header), f"({NAME}@{HOST})", 1)
     return F.lower(F.nullif(found, F.lit("")))
 
 
@@ -162,13 +168,13 @@ def header_is_personal(header: Column) -> Column:
 
 def any_personal(*headers: Column) -> Column:
     """Whether any address in any of the headers is at a personal provider."""
-    hosts = F.concat(*[F.regexp_extract_all(_text(h), F.lit(r"[A-Za-z0-9._+\-]+@([A-Za-z0-9.\-]+)"), F.lit(1)) for h in headers])
+    hosts = F.concat(*[F.regexp_extract_all(_text(h), F.lit(f"{NAME}@({HOST})"), F.lit(1)) for h in headers])
     return F.exists(hosts, lambda h: is_personal_domain(F.trim(h, F.lit("."))))
 
 
 def sender_display(header: Column) -> Column:
     """The display name before an address in angle brackets, without quotes; '' for bare addresses."""
-    raw = F.regexp_extract(_text(header), r"^\s*(.+?)\s*<[^<>]+@[^<>]+>\s*$", 1)
+    raw = F.regexp_extract(_text(header), rf"^\s*(.+?)\s*<{_TAGGED}@{_TAGGED}>\s*$", 1)
 
     def unquoted(r: Column) -> Column:
         quoted = (F.length(r) >= 2) & ((r.startswith('"') & r.endswith('"')) | (r.startswith("'") & r.endswith("'")))
@@ -182,7 +188,7 @@ def is_attendee_address(addr: Column) -> Column:
     a = F.lower(_text(addr))
     local, host = local_part(a), domain(a)
     mailers = [f"{x}@{CALENDAR_HOST}" for x in CALENDAR_LOCALS]
-    return (local != "") & (host != "") & ~a.isin(mailers) & ~host.endswith(".calendar." + CALENDAR_HOST) & ~local.isin("noreply", "no-reply", "donotreply", "support")
+    return (local != "") & (host != "") & ~a.isin(mailers) & ~host.endswith(".calendar." + CALENDAR_HOST) & ~local.isin("donotreply", "no-reply", "noreply", "support")
 
 
 def name_of_address(addr: Column) -> Column:

@@ -11,6 +11,7 @@ from quillmill.functions import vocabulary as V
 from quillmill.functions.let import let
 
 _WHITE = r"(?U)\s+"
+_OWNER = r"(?U)\b([A-Z][-'A-Za-z]+)['’]s"
 _END = ".,;:!?"
 
 
@@ -162,7 +163,7 @@ def clean_display(raw: Column) -> Column:
 
 def slug(name: Column, empty: str = "unknown", limit: int | None = None) -> Column:
     """Lower-case ASCII letters and digits, with - between; a word for empty if none is left."""
-    s = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
+    s = F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^0-9a-z]+", "-"), F.lit("-"))
     s = F.substring(s, 1, limit) if limit else s
     return F.when(s == "", empty).otherwise(s)
 
@@ -184,10 +185,10 @@ def _title_names(t: Column, tokens: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["n"].alias("name"), word(x).alias("word"), F.lit(detector).alias("detector")))
 
     owned = F.arrays_zip(
-        F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Z][A-Za-z'\-]+)['’]s\s+(\w+)"), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Z][A-Za-z'\-]+)['’]s\s+(\w+)"), F.lit(2)).alias("f")
+        F.regexp_extract_all(t, F.lit(rf"{_OWNER}\s+(\w+)"), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(rf"{_OWNER}\s+(\w+)"), F.lit(2)).alias("f")
     )
     owned = F.filter(owned, lambda x: person(x["n"]))
-    bare = F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Z][A-Za-z'\-]+)['’]s\b"), F.lit(1)), lambda x: F.struct(x.alias("n")))
+    bare = F.transform(F.regexp_extract_all(t, F.lit(rf"{_OWNER}\b"), F.lit(1)), lambda x: F.struct(x.alias("n")))
     bare = F.filter(bare, lambda x: person(x["n"]))
     anchor = F.try_element_at(F.filter(F.transform(tokens, F.lower), lambda w: _in(w, V.KINSHIP_WORDS)), F.lit(1))
     near = F.transform(F.filter(tokens, lambda w: ~_in(F.lower(w), V.KINSHIP_WORDS)), lambda w: F.struct(F.regexp_replace(w, r"(?<=.)['’]s$", "").alias("n")))

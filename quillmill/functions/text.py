@@ -18,6 +18,7 @@ _PROPERTIES = (
     + "background background-color background-image color display height letter-spacing line-height max-height max-width min-height min-width".split()
     + [*(f"font-{x}" for x in "family size style weight".split()), *(f"text-{x}" for x in "align decoration transform".split()), "vertical-align", "width"]
 )
+_GAP, _VALUE, _BLANK = r"[ \t]*", r"[^\n;]+", r"(?:[\t ]*\n)"
 #: Lines that consist of one of these are a mailing's footer.
 _FOOTERS = [
     "add us to your address book",
@@ -26,8 +27,8 @@ _FOOTERS = [
     "privacy policy",
     "this email was sent to .+",
     "unsubscribe",
-    "update (?:your )?(?:email )?preferences",
-    "view (?:this )?(?:email|message) in (?:your |a )?browser",
+    "update (?:your |)(?:email |)preferences",
+    "view (?:this |)(?:message|email) in (?:a |your |)browser",
 ]
 
 
@@ -56,15 +57,15 @@ def without_blocks(text: Column) -> Column:
 def without_css(text: Column) -> Column:
     """Style declarations, colours and footer lines taken out, white space put in order."""
     names = "|".join(sorted(_PROPERTIES, key=lambda p: (-len(p), p)))
-    t = F.regexp_replace(text, rf"(?iU)\b(?:{names})\s*:\s*[^;\n]+;?", " ")
-    t = F.regexp_replace(t, r"(?imd)^[ \t]*[a-z-]+[ \t]*:[ \t]*[^;\n]+;[ \t]*$", "")
-    t = F.regexp_replace(t, r"(?U)(?<!\w)#(?:[0-9a-fA-F]{8}|[0-9a-fA-F]{6}|[0-9a-fA-F]{3,4})(?!\w)", " ")
+    t = F.regexp_replace(text, rf"(?iU)\b(?:{names})\s*:\s*{_VALUE};?", " ")
+    t = F.regexp_replace(t, rf"(?imd)^{_GAP}[a-z-]+{_GAP}:{_GAP}{_VALUE};{_GAP}$", "")
+    t = F.regexp_replace(t, r"(?iU)(?<!\w)#(?:[0-9a-f]{3,4}|(?:[0-9a-f]{2}){3,4})(?!\w)", " ")
     t = F.regexp_replace(t, r"(?iU)\b(?:hsl|rgb)a?\s*\([^)]*\)", " ")
     t = F.regexp_replace(t, rf"(?imd)^[ \t]*(?:{'|'.join(_FOOTERS)})[ \t.!]*$", "")
     t = F.regexp_replace(t, r"[ \t\f\x0B]+", " ")
-    t = F.regexp_replace(t, r"(?:[ \t]*\n){3,}", "\n\n")
+    t = F.regexp_replace(t, _BLANK + "{3,}", "\n\n")
     t = F.array_join(F.transform(F.split(t, "\n"), strip), "\n")
-    return strip(F.regexp_replace(t, r"(?:[ \t]*\n){3,}", "\n\n"))
+    return strip(F.regexp_replace(t, _BLANK + "{3,}", "\n\n"))
 
 
 def strip(text: Column) -> Column:
@@ -77,11 +78,12 @@ def clean_html(text: Column) -> Column:
     return without_css(unescape(without_blocks(text)))
 
 
+_SOME = ".{0,80}"
 _MARKS = [
-    r"^On .{0,80}wrote:\s*$",
-    r"^Le .{0,80}a écrit\s*:\s*$",
-    r"^Am .{0,80}schrieb .{0,80}:\s*$",
-    r"^-{2,}\s*Forwarded message\s*-{2,}",
+    rf"^On {_SOME}wrote:\s*$",
+    rf"^Le {_SOME}a écrit\s*:\s*$",
+    rf"^Am {_SOME}schrieb {_SOME}:\s*$",
+    r"^--+\s*Forwarded message\s*--+",
     r"^Begin forwarded message:\s*$",
 ]
 _FOOTNOTES = [r"^Sent from my (?:Android|iPad|iPhone|Samsung).*$", r"^Get Outlook for (?:Android|iOS).*$"]
@@ -104,11 +106,15 @@ def token_bag(query: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"(?U)\s+"), lambda w: w != "")))
 
 
+#: A day or a month as it is abbreviated.
+_DAY = "[A-Z][a-z]{2,8}"
+
+
 def event_title(subject: Column) -> Column:
     """A calendar mail's subject without the service's prefix and date."""
     s = strip(F.coalesce(subject, F.lit("")))
     s = F.regexp_replace(s, r"(?i)^\s*(?:updated invitation:?|cancell?ed(?: event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*", "")
-    return strip(F.regexp_replace(s, r"\s+@\s+[A-Z][a-z]{2,8}\s+[A-Z][a-z]{2,8}\s+\d{1,2},\s*\d{4}.*$", ""))
+    return strip(F.regexp_replace(s, rf"\s+@\s+{_DAY}\s+{_DAY}\s+\d{{1,2}},\s*\d{{4}}.*$", ""))
 
 
 def is_calendar_reply(subject: Column, body: Column) -> Column:
@@ -120,7 +126,7 @@ def is_calendar_reply(subject: Column, body: Column) -> Column:
         "has declined this invitation",
         "has tentatively accepted this invitation",
         "invitation from google calendar",
-        "you are receiving this email because you are subscribed to calendar",
+        "you are receiving this email because " "you are subscribed to calendar",
     ]
     any_mark = F.lit(False)
     for m in marks:
@@ -152,7 +158,7 @@ def sentence_around(text: Column, term: Column, limit: int = 220) -> Column:
 
 
 def _sentence(t: Column, w: Column, limit: int) -> Column:
-    quoted = F.concat(F.lit(r"(?iuU)[^.!?\n]*\b\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b[^.!?\n]*[.!?]?"))
+    quoted = F.concat(F.lit(r"(?iuU)[^\n!.?]*\b\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b[^\n!.?]*[!.?]?"))
 
     def cut(s: Column) -> Column:
         head = F.substring(s, 1, limit)

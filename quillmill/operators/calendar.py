@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.address import domain, is_attendee_address, is_personal_domain
+from quillmill.functions.address import ANGLE_ADDRESS, NAME, domain, is_attendee_address, is_personal_domain
 from quillmill.functions.let import let
 from quillmill.functions.names import clean_display, has_kinship_word, names_in_title
 from quillmill.functions.text import event_title
 from quillmill.functions.vocabulary import EVIDENCE_DOMAINS
 
-_ENDS = ["Unsubscribe ", "You are receiving this", "Forwarding this invitation", "google.com/calendar/event?", "https://www.google.com/calendar"]
+_ENDS = ["Forwarding this invitation", "https://www." "google.com/calendar", "Unsubscribe ", "google.com/calendar/event?", "You are receiving this"]
 _PERSON = "struct<name:string,email:string,source:string,event_title:string,strength:double,signal:string,words:array<string>>"
 
 
@@ -27,7 +27,7 @@ def attendees(body: Column) -> Column:
 
 
 def _guests(t: Column) -> Column:
-    pattern = r"(?U)([A-Za-z][\w .,'\-]*?)\s*<([^<>@\s]+@[^<>@\s]+)>"
+    pattern = rf"(?U)([A-Za-z][-',. \w]*?)\s*{ANGLE_ADDRESS}"
     named = F.transform(
         F.arrays_zip(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(pattern), F.lit(2)).alias("e")),
         lambda x: F.struct(clean_display(F.trim(x["n"], F.lit(" -\t,;:"))).alias("name"), F.lower(F.trim(x["e"])).alias("email")),
@@ -36,7 +36,7 @@ def _guests(t: Column) -> Column:
     named = F.filter(named, lambda x: is_attendee_address(x["email"]))
     longer = lambda p, q: F.when(F.length(p["name"]) > F.length(q["name"]), -1).when(F.length(p["name"]) < F.length(q["name"]), 1).otherwise(0)
     best = let(named, lambda a: F.transform(a, lambda x: F.struct(F.get(F.array_sort(F.filter(a, lambda y: y["email"] == x["email"]), longer), F.lit(0))["name"].alias("name"), x["email"].alias("email"))))
-    bare = F.transform(F.regexp_extract_all(t, F.lit(r"(?U)\b([\w.+\-]+@[\w.\-]+\.[A-Za-z]{2,})\b"), F.lit(1)), lambda e: F.struct(F.substring_index(F.lower(e), "@", 1).alias("name"), F.lower(e).alias("email")))
+    bare = F.transform(F.regexp_extract_all(t, F.lit(rf"(?U)\b({NAME}@[-.\w]+\.[A-Za-z]{{2,}})\b"), F.lit(1)), lambda e: F.struct(F.substring_index(F.lower(e), "@", 1).alias("name"), F.lower(e).alias("email")))
     bare = F.filter(bare, lambda x: is_attendee_address(x["email"]))
     return let(F.concat(best, bare), lambda a: F.filter(a, lambda x, i: ~F.exists(F.slice(a, F.lit(1), i), lambda y: y["email"] == x["email"])))
 

@@ -101,7 +101,7 @@ class Frontier:
     def bag(query: str) -> frozenset[str]:
         return frozenset(query.lower().split())
 
-    def push(self, query: str, score: float = 1.0, parent: str = "", why: str = "") -> bool:
+    def push(self, query: str, score: float = 1, parent: str = "", why: str = "") -> bool:
         """Whether the query was admitted; a query that belongs to no parent is an error."""
         if not isinstance(parent, str) or not parent.strip():
             raise ValueError("a query needs a parent, or nothing would bound it")

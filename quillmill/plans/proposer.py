@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -21,7 +20,8 @@ class Proposal:
 
 def seed_queries(seed: str, limit: int = 3) -> list[Proposal]:
     """All telling words of a seed together, then each in subjects."""
-    words = [w for w in seed.lower().split() if len(w) > 1 and w not in MOCK_SEED_STOPWORDS] or [seed.strip()]
+    telling = filter(lambda w: len(w) > 1 and w not in MOCK_SEED_STOPWORDS, seed.lower().split())
+    words = list(telling) or [seed.strip()]
     out = [Proposal(" OR ".join(words), 0.9, "all words of the seed", SEED)] if len(words) > 1 else []
     return (out + [Proposal(f"subject:{w}", 0.7, "a word of the seed", SEED) for w in words])[:limit]
 
@@ -38,7 +38,7 @@ def expansion_queries(entities: list[tuple[str, str]], ran: Iterable[str], limit
 
 def read_json(text: str) -> dict | None:
     """The JSON object in an answer: the answer itself, or what stands from its first { to its last }."""
-    for part in (text, (m[0] if (m := re.search(r"\{.*\}", text, re.S)) else "")):
+    for part in (text, text[max(0, text.find("{")) : text.rfind("}") + 1]):
         try:
             found = json.loads(part)
         except ValueError:
@@ -50,7 +50,8 @@ def read_json(text: str) -> dict | None:
 def read_proposals(data: dict | None, offered: set[str] | None = None, limit: int = 3) -> list[Proposal]:
     """Proposals in an answer.  Without offered parents they are seeds; else those with another parent are dropped."""
     out = []
-    for p in (data.get("proposals") or data.get("queries") or []) if isinstance(data, dict) else []:
+    data = data if isinstance(data, dict) else {}
+    for p in next((data[k] for k in ("proposals", "queries") if data.get(k)), ()):
         query, parent = str(p.get("query") or "").strip(), str(p.get("parent_entity") or "").strip()
         if not query or (offered is not None and parent not in offered):
             continue

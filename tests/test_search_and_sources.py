@@ -120,7 +120,8 @@ def test_contacts(spark):
     ],
 )
 def test_errors(status, reason, attempt, action):
-    body = {"error": {"errors": [{"reason": reason}]}} if reason else None
+    errors = [{"reason": reason}]
+    body = {"error": {"errors": errors}} if reason else None
     assert remote.decide(remote.HttpFailure(status, body), attempt).action == action
 
 
