@@ -481,7 +481,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: f
 
     Samples come by falling perturbed log probability.  A text with fewer than k segmentations has them all, with
     inclusion 0; an empty text has one, without ids; a null text none.  Rows alike in id and text have the same
-    samples each; a null id is a key like others.  An empty table gives an empty one.  Other columns aren't read.
+    samples each (scores up to rounding); a null id is a key like others.  An empty table gives an empty one.  Other columns aren't read.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(F.lit(seed), docs[doc_id], docs[text]).alias("key"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -1,7 +1,8 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams: one of target texts (those labelled good), one of the raw corpus.  A
-document's log weight is the log ratio of its probability under them, the sum over its n-grams; adding Gumbel noise
+document's log weight is the log ratio of its probability under them, the sum over its n-grams, where the raw model
+is counted without the document itself (in a small corpus it would else speak against itself); adding Gumbel noise
 and taking the k greatest sums samples k documents without replacement in proportion to their weights.  k is the
 number of documents that are at most ODDS times less likely under the target model than under the raw one.
 
@@ -29,9 +30,9 @@ from quillmill.llm.textbatch import Words, doc_sums, mix, slices
 BUCKETS = 1 << 14
 #: Bound on the labelled documents that the target model is fitted on.
 MAX_LABELLED = 20_000
-#: Pseudo-counts of the raw model in the target model.
-SMOOTHING = 5.0
-ODDS = 50.0
+#: Pseudo-counts in each bucket of both models, so that what the target texts were too few to show counts little.
+SMOOTHING = 1000.0
+ODDS = 20.0
 SEED = 20_240
 
 _PAIR = np.uint64(0x9FB21C651E98DF25)
@@ -64,8 +65,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality") -> np.ndarray:
-    """log(target model / raw model) of each bucket; zeros if nothing is labelled good."""
+def models(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality") -> np.ndarray:
+    """Counts of each bucket, target and raw in two rows; all zeros if nothing is labelled good."""
     good = (
         labels.where(labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("good_id")).agg(F.min(labels[quality]).alias("q")).where("q >= 1")
         .select("good_id").orderBy(F.xxhash64("good_id"), "good_id").limit(MAX_LABELLED)
@@ -78,21 +79,26 @@ def log_ratios(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = rows.column("bucket").to_numpy()
     raw[at], target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    expected = raw * (target.sum() / raw.sum())
-    return np.log((target + SMOOTHING * np.minimum(1, expected)) / np.maximum(expected + SMOOTHING * np.minimum(1, expected), 1e-300), where=raw > 0, out=np.zeros(BUCKETS))
+    return np.stack([target, raw]) if target.sum() else np.zeros((2, BUCKETS))
 
 
-def log_weights(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
+def log_weights(column: pa.Array, counts: np.ndarray) -> np.ndarray:
+    target, raw = counts
+    share = target.sum() / max(1.0, raw.sum())
     g, bounds = grams(column)
-    return doc_sums(np.append(ratios, 0.0)[g], bounds)
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    key = np.sort((doc * (2 * BUCKETS) + g)[g < BUCKETS])
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
+    own = np.diff(np.append(at, len(key)))
+    b, d = key[at] % (2 * BUCKETS), key[at] // (2 * BUCKETS)
+    ratio = np.log((target[b] + SMOOTHING) / (np.maximum(raw[b] - own, 0) * share + SMOOTHING))
+    return doc_sums(own * ratio, np.searchsorted(d, np.arange(len(bounds))))
 
 
-def _weigher(ratios):
+def _weigher(counts):
     @F.arrow_udf(T.DoubleType())
     def weigh(text: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(log_weights(text.slice(a, b - a), ratios.value) for a, b in slices(text))]))
+        return pa.array(np.concatenate([np.zeros(0), *(log_weights(text.slice(a, b - a), counts.value) for a, b in slices(text))]))
 
     return weigh
 
@@ -135,9 +141,9 @@ def _gumbel(docs: DataFrame, text: str, doc_id: str, seed: int):
 
 
 def _weights(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, seed: int) -> DataFrame:
-    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, labels, text, doc_id))
+    counts = docs.sparkSession.sparkContext.broadcast(models(docs, labels, text, doc_id))
     noise = _gumbel(docs, text, doc_id, seed)
-    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("k"), _weigher(ratios)(docs[text]).alias("log_weight"), noise.alias("noise"))
+    rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("k"), _weigher(counts)(docs[text]).alias("log_weight"), noise.alias("noise"))
     return rows.select("doc_id", "k", "log_weight", (F.col("log_weight") + F.col("noise")).alias("sample_key"))
 
 

@@ -49,7 +49,7 @@ def empty(odd):
     return odd.limit(0)
 
 
-# --- words ---------------------------------------------------------------------------------------------------------
+# == words
 
 
 @settings(max_examples=80, deadline=None)
@@ -73,7 +73,7 @@ def test_slices_take_each_row_once():
     assert list(textbatch.slices(col, 64)) == [(0, 2), (2, 3), (3, 6)] and list(textbatch.slices(col.slice(0, 0), 64)) == []
 
 
-# --- 9: repetition -----------------------------------------------------------------------------------------------
+# == 9: repetition
 
 
 def brute_repetition(text):
@@ -113,7 +113,7 @@ def test_repetition_rows(spark, odd, empty):
     assert [r["doc_id"] for r in repetition.repetition_filter(docs).collect()] == [1] and repetition.repetition_filter(docs).columns == docs.columns
 
 
-# --- 10: licenses ------------------------------------------------------------------------------------------------
+# == 10: licenses
 
 
 def test_license_automaton():
@@ -143,7 +143,7 @@ def test_license_rows(spark, odd, empty):
     assert license_scan.license_scan(odd).count() == 0 and license_scan.license_scan(empty).count() == 0
 
 
-# --- 6: token counts ---------------------------------------------------------------------------------------------
+# == 6: token counts
 
 
 def test_token_counts(spark, odd, empty, tmp_path):
@@ -168,7 +168,7 @@ def test_token_counts(spark, odd, empty, tmp_path):
     assert token_cache.token_counts(odd, BPE, cache).count() == 12 and spark.read.parquet(cache).count() == before
 
 
-# --- 5: SimHash --------------------------------------------------------------------------------------------------
+# == 5: SimHash
 
 
 def near_copy(rnd, text, share):
@@ -231,7 +231,7 @@ def test_simhash_rows(spark, odd, empty):
     assert simhash.simhash_dedup(alone).count() == 1 and simhash.simhash_duplicates(alone).count() == 0
 
 
-# --- 1: substring dedup ------------------------------------------------------------------------------------------
+# == 1: substring dedup
 
 
 def brute_repeats(texts, size=recompression.MIN_WORDS):
@@ -301,7 +301,7 @@ def test_substring_rows(spark, odd, empty):
     assert recompression.repeated_passages(alone).count() == 0 and recompression.substring_dedup(alone).count() == 2
 
 
-# --- 7: resampling -----------------------------------------------------------------------------------------------
+# == 7: resampling
 
 
 def test_resampling_separates(spark):
@@ -320,19 +320,17 @@ def test_resampling_weights(spark):
     texts = ["a b a", "b c", ""]
     docs = documents(spark, texts)
     labels = spark.createDataFrame([(0, 1)], "doc_id bigint, quality int")
-    ratios = resampling.log_ratios(docs, labels)
-    raw, target = collections.Counter(), collections.Counter()
-    for i, t in enumerate(texts):
-        g, bounds = resampling.grams(pa.array([t]))
-        c = collections.Counter(x for x in g.tolist() if x < resampling.BUCKETS)
-        raw += c
-        if i == 0:
-            target += c
-    for b, n in raw.items():
-        e = n * sum(target.values()) / sum(raw.values())
-        s = resampling.SMOOTHING
-        assert ratios[b] == pytest.approx(math.log((target[b] + s) / (e + s)))
-    assert len(raw) == 6 and resampling.log_weights(pa.array(["", "a b a"]), ratios)[0] == 0
+    counts = resampling.models(docs, labels)
+    raw, own = collections.Counter(), []
+    for t in texts:
+        g, _ = resampling.grams(pa.array([t]))
+        own.append(collections.Counter(x for x in g.tolist() if x < resampling.BUCKETS))
+        raw += own[-1]
+    target = own[0]
+    assert all(counts[0][b] == target[b] and counts[1][b] == n for b, n in raw.items()) and counts.sum() == sum(raw.values()) + sum(target.values())
+    share, s = sum(target.values()) / sum(raw.values()), resampling.SMOOTHING
+    want = [sum(n * math.log((target[b] + s) / ((raw[b] - n) * share + s)) for b, n in c.items()) for c in own]
+    assert len(raw) == 6 and resampling.log_weights(pa.array(texts), counts).tolist() == pytest.approx(want, rel=1e-9, abs=1e-12)
 
 
 def test_kth(spark):
@@ -353,7 +351,7 @@ def test_resampling_rows(spark, odd, empty):
     assert resampling.weighted(odd, some).count() == 12
 
 
-# --- 3: packing --------------------------------------------------------------------------------------------------
+# == 3: packing
 
 
 def brute_pack(texts, window):
@@ -407,7 +405,7 @@ def test_packing_rows(spark, odd, empty):
     assert max(size.values()) <= packing.WINDOW and len({(r["pack_id"], r["slot"]) for r in rows}) == len(rows) and packing.retrieval_packs(empty).count() == 0
 
 
-# --- 4: embeddings -----------------------------------------------------------------------------------------------
+# == 4: embeddings
 
 
 def test_embeddings_by_brute_force(spark):
@@ -432,7 +430,7 @@ def test_hadamard():
     assert np.allclose(embedding_dedup.hadamard(embedding_dedup.hadamard(x)), x) and np.allclose(np.linalg.norm(embedding_dedup.rotated(x, 3), axis=1), 1)
 
 
-# --- 8: resharding -----------------------------------------------------------------------------------------------
+# == 8: resharding
 
 
 def least_moved(sizes, capacities):
@@ -515,7 +513,7 @@ def test_resharding(spark, odd, empty, tmp_path):
     assert len(rows) == 12 and {r["new_shard"] for r in rows} <= {"a", "z"} and len({r["new_shard"] for r in rows if r["doc_id"] == 5}) == 1
 
 
-# --- 2: SentencePiece --------------------------------------------------------------------------------------------
+# == 2: SentencePiece
 
 
 @pytest.fixture(scope="module")
