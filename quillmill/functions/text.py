@@ -158,7 +158,13 @@ def sentence_around(text: Column, term: Column, limit: int = 220) -> Column:
 
 
 def _sentence(t: Column, w: Column, limit: int) -> Column:
-    quoted = F.concat(F.lit(r"(?iuU)[^\n!.?]*\b\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b[^\n!.?]*[!.?]?"))
+    # the word first, then the sentence to both sides of it: a pattern of the whole sentence is tried at every character
+    word = F.concat(F.lit(r"(?iuU)\b\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E\b"))
+
+    def around(at: Column) -> Column:
+        before = F.reverse(F.regexp_extract(F.reverse(F.substring(t, F.lit(1), at - 1)), r"^[^\n!.?]*", 0))
+        after = F.regexp_extract(F.substring(t, at + F.length(w), F.length(t)), r"^[^\n!.?]*[!.?]?", 0)
+        return F.when(at > 0, strip(F.concat(before, F.substring(t, at, F.length(w)), after)))
 
     def cut(s: Column) -> Column:
         head = F.substring(s, 1, limit)
@@ -169,7 +175,7 @@ def _sentence(t: Column, w: Column, limit: int) -> Column:
         begin = F.greatest(F.lit(1), at - 80)
         return F.when(at > 0, strip(F.substring(t, begin, at + F.length(w) + 80 - begin))).otherwise("")
 
-    hit = let(strip(F.regexp_substr(t, quoted)), cut)
+    hit = let(let(F.regexp_instr(t, word), around), cut)
     return F.when(w == "", "").otherwise(F.coalesce(hit, let(F.instr(F.lower(t), F.lower(w)), window)))
 
 

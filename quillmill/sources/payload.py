@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.address import is_bulk_message, is_calendar_mailer
+from quillmill.functions.let import let
 from quillmill.functions.text import clean_html, is_calendar_reply, strip, without_quotes
 from quillmill.operators.calendar import calendar_persons
 from quillmill.sources.schema import with_message_columns
@@ -23,7 +24,10 @@ _HEADERS = "array<struct<name:string,value:string>>"
 
 def decode_base64url(data: Column) -> Column:
     """The text in URL-safe base64, padded or not; '' for what can't be decoded, replacement characters for bad UTF-8."""
-    s = F.translate(F.regexp_replace(F.coalesce(data, F.lit("")), r"[=\s]+$", ""), "-_", "+/")
+    return let(F.translate(F.regexp_replace(F.coalesce(data, F.lit("")), r"[=\s]+\z", ""), "-_", "+/"), _decoded)
+
+
+def _decoded(s: Column) -> Column:
     padded = F.rpad(s, ((F.length(s) + 3) / 4).cast("int") * 4, "=")
     fine = s.rlike(r"^[A-Za-z0-9+/]*$") & (F.length(s) % 4 != 1)
     raw = F.when(fine, F.try_to_binary(padded, F.lit("base64")))
@@ -31,33 +35,30 @@ def decode_base64url(data: Column) -> Column:
 
 
 def _parts(payload: str, depth: int) -> str:
-    """SQL for the parts of a payload (JSON text) as array<struct<place, mime, data>>, in the order of a walk in depth."""
-    level = f"transform(array({payload}), x -> named_struct('place', array(0), 'json', x))"
-    every = [level]
-    for _ in range(depth):
-        level = (
-            f"flatten(transform({level}, p -> transform(coalesce(from_json(get_json_object(p.json, '$.parts'), 'array<string>'), array()), "
-            "(c, i) -> named_struct('place', concat(p.place, array(i)), 'json', c))))"
-        )
-        every.append(level)
-    return f"array_sort(concat({', '.join(every)}), (a, b) -> case when a.place < b.place then -1 when a.place > b.place then 1 else 0 end)"
+    """SQL for the parts of a payload (JSON text) as array<struct<place, json>>, in the order of a walk in depth; each level is read once."""
+    top = f"array(named_struct('place', array(0), 'json', {payload}))"
+    below = (
+        "flatten(transform(s.level, p -> transform(coalesce(from_json(get_json_object(p.json, '$.parts'), 'array<string>'), array()), "
+        "(c, i) -> named_struct('place', concat(p.place, array(i)), 'json', c))))"
+    )
+    step = f"(s, n) -> get(transform(array({below}), x -> named_struct('level', x, 'every', concat(s.every, x))), 0)"
+    every = f"aggregate(sequence(1, {depth}), named_struct('level', {top}, 'every', {top}), {step}).every"
+    return f"array_sort({every}, (a, b) -> case when a.place < b.place then -1 when a.place > b.place then 1 else 0 end)"
 
 
 def body(payload: str = "payload") -> Column:
     """The text of all plain parts, else of all HTML parts, with blank lines between; payload is a column of JSON text."""
-    parts = F.expr(_parts(payload, DEPTH))
     texts = F.transform(
-        parts,
+        F.expr(_parts(payload, DEPTH)),
         lambda p: F.struct(
             F.lower(F.coalesce(F.get_json_object(p["json"], "$.mimeType"), F.lit(""))).alias("mime"), decode_base64url(F.get_json_object(p["json"], "$.body.data")).alias("text")
         ),
     )
 
-    def of(kind: str) -> Column:
-        return F.transform(F.filter(texts, lambda t: (t["mime"] == kind) & (t["text"] != "")), lambda t: t["text"])
+    def of(t: Column, kind: str) -> Column:
+        return F.array_join(F.transform(F.filter(t, lambda x: (x["mime"] == kind) & (x["text"] != "")), lambda x: x["text"]), "\n\n")
 
-    plain, marked = of("text/plain"), of("text/html")
-    return strip(F.when(F.size(plain) > 0, F.array_join(plain, "\n\n")).otherwise(F.array_join(marked, "\n\n")))
+    return let(texts, lambda t: strip(F.coalesce(F.nullif(of(t, "text/plain"), F.lit("")), of(t, "text/html"))))
 
 
 def header_map(headers: Column) -> Column:
