@@ -405,6 +405,30 @@ def test_packing_rows(spark, odd, empty):
     assert max(size.values()) <= packing.WINDOW and len({(r["pack_id"], r["slot"]) for r in rows}) == len(rows) and packing.retrieval_packs(empty).count() == 0
 
 
+def test_packing_finds_neighbours_everywhere(spark):
+    rnd = random.Random(61)
+    parts = [prose(rnd, 3000) for _ in range(6)]
+    texts = [" ".join(rnd.sample(parts[i % 6].split(), 600)) for i in range(120)]
+    # each topic's documents are spread over 3 languages with 20 sources each
+    docs = spark.createDataFrame([(i, t, "abc"[i // 6 % 3], f"s{i // 6}", len(t)) for i, t in enumerate(texts)], DOCS)
+    packs = collections.defaultdict(list)
+    for r in packing.retrieval_packs(docs).orderBy("pack_id", "slot").collect():
+        packs[r["pack_id"]].append(r)
+    seeds = sorted(rs[0]["doc_id"] for rs in packs.values())
+    assert sum(map(len, packs.values())) == 120 and len(packs) <= 12
+    col = pa.array(texts)
+    f, tf, bounds = stats.features(col)
+    s = stats.Frequencies(np.bincount(stats.bucket(f), minlength=1 << stats.DF_BITS), int((np.diff(bounds) > 0).sum()), int(tf.sum()))
+    index = packing.Index.of(col, s)
+    # six windows can be filled from one topic each; what is left of the topics doesn't fill any
+    assert seeds[:9] == list(range(9)) and all(len(packs[p]) == 13 and {r["doc_id"] % 6 for r in packs[p]} == {p} for p in range(6))
+    # the first seed has the best of one index over everything that isn't a seed
+    score = index.scores(0)
+    score[seeds] = -1
+    got = [r["doc_id"] for r in packs[0][1:]]
+    assert len(got) == 12 and set(got) == set(np.argsort(-score)[:12].tolist()) and [r["score"] for r in packs[0][1:]] == pytest.approx(sorted(score, reverse=True)[:12])
+
+
 # == 4: embeddings
 
 
