@@ -31,20 +31,58 @@ _ANY = re.compile(r"\.\{(\d+),(\d+)\}")
 _LINK = '<<beginOptional>> (<<var;name="link";original="";match=".{1,8}">>) <<endOptional>>'
 _VERSION = '<<beginOptional>>,<<endOptional>> <<beginOptional>>Version<<endOptional>>'
 
+
+
+def _opt(words: str) -> str:
+    return f"<<beginOptional>>{words}<<endOptional>>"
+
+
+def _region(match: str) -> str:
+    return f'<<var;name="region";original="";match="{match}">>'
+
+
+def _notice(name: str, version: str) -> str:
+    """The notice that the licenses of the GNU project ask for, with "or later" or without."""
+    by = "as published by the free software foundation"
+    return f"under the terms of the GNU {name} " + _region(f"{by} either version {version}|version {version} {by}|v{version} {by}|{by} version {version}|version {version}")
+
+
+_MIT_END = (
+    " THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+    " IN NO EVENT SHALL " + _region(".{1,12}") + " BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    + _opt("1") + " Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    + _opt("2") + " Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY " + _region(".{1,14}") + " AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+    " IN NO EVENT SHALL " + _region(".{1,14}") + " BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+    " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
+)
+
 #: license id -> template
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License<<beginOptional>>, Version<<endOptional>> 2.0",
     "MIT": '<<var;name="verb";original="Released";match="released|licensed|distributed|available|provided">> under the <<beginOptional>>terms of the<<endOptional>> MIT License',
-    "MIT-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of <<var;name="what";original="this software and associated documentation files (the \'Software\')";match=".{2,12}">>, to deal in the Software without restriction',
+    "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of " + _region(".{2,12}") + ", to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice " + _opt("(including the next paragraph)") + " shall be included in all copies or substantial portions of the Software." + _MIT_END,
     "GPL-2.0": '<<beginOptional>>This work is<<endOptional>> licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> <<var;name="v";original="version";match="version|v">> 2<<beginOptional>>.0<<endOptional>>',
     "GPL-3.0": '<<beginOptional>>This work is<<endOptional>> licensed under the GNU General Public License<<beginOptional>>,<<endOptional>> <<var;name="v";original="version";match="version|v">> 3<<beginOptional>>.0<<endOptional>>',
     "CC-BY-4.0": "Licensed under <<beginOptional>>a<<endOptional>> <<var;name=\"cc\";original=\"CC BY\";match=\"cc by|creative commons attribution\">> 4.0 <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>>",
     "CC-BY-NC-4.0": "Licensed under <<beginOptional>>a<<endOptional>> <<var;name=\"cc\";original=\"CC BY-NC\";match=\"cc by nc|creative commons attribution noncommercial\">> 4.0 <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>>",
     "CC-BY-SA-4.0": "Licensed under <<beginOptional>>a<<endOptional>> <<var;name=\"cc\";original=\"CC BY-SA\";match=\"cc by sa|creative commons attribution sharealike\">> 4.0 <<beginOptional>>International<<endOptional>> <<beginOptional>>License<<endOptional>>",
-    "BSD-3-Clause": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met <<var;name="conditions";original="";match=".{20,140}">> Neither the name of <<var;name="organization";original="the copyright holder";match=".{1,12}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission',
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "ISC": 'Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies',
+    "BSD-3-Clause": _BSD + _opt("3") + " Neither the name of " + _region(".{1,12}") + " nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + _BSD_END,
+    "BSD-2-Clause": _BSD + _BSD_END,
+    "ISC": "Permission to use, copy, modify, and" + _opt("/or") + " distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND " + _region(".{1,12}") + " DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL " + _region(".{1,12}") + " BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "GPL-2.0-notice": _notice("General Public License", "2"),
+    "GPL-3.0-notice": _notice("General Public License", "3"),
+    "LGPL-2.1-notice": _notice("Lesser General Public License", "2.1"),
+    "LGPL-3.0-notice": _notice("Lesser General Public License", "3"),
+    "AGPL-3.0-notice": _notice("Affero General Public License", "3"),
+    "CC0-1.0": _region("cc0|creative commons zero") + " " + _opt("v") + _opt("version") + " 1.0 Universal",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "SPDX-tag": 'SPDX-License-Identifier: <<var;name="id";original="";match=".{1,1}">>',
 }
 
