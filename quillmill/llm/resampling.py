@@ -1,6 +1,6 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed n-grams: one of target texts (those labelled good), one of the raw corpus.  A
+Two generative models of hashed n-grams: one of target texts (those labelled good and not toxic), one of the raw corpus.  A
 document's log weight is the log ratio of its probability under them, the sum over its n-grams, where the raw model
 is counted without the document itself (in a small corpus it would else speak against itself); adding Gumbel noise
 and taking the k greatest sums samples k documents without replacement in proportion to their weights.  k is the
@@ -66,9 +66,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def models(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", quality: str = "quality") -> np.ndarray:
-    """Counts of each bucket, target and raw in two rows; all zeros if nothing is labelled good."""
+    """Counts of each bucket, target and raw in two rows; all zeros if nothing is labelled good.  A label of toxic, where there is one, takes a text out of the target."""
+    toxic = F.max(F.coalesce(labels["toxic"], F.lit(0))) if "toxic" in labels.columns else F.lit(0)
     good = (
-        labels.where(labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("good_id")).agg(F.min(labels[quality]).alias("q")).where("q >= 1")
+        labels.where(labels[doc_id].isNotNull()).groupBy(labels[doc_id].alias("good_id")).agg(F.min(labels[quality]).alias("q"), toxic.alias("t")).where("q >= 1 AND t < 1")
         .select("good_id").orderBy(F.xxhash64("good_id"), "good_id").limit(MAX_LABELLED)
     )
     texts = docs.select(docs[text].alias("text"), docs[doc_id].alias("doc_id")).join(F.broadcast(good), F.col("doc_id") == F.col("good_id"), "left")
