@@ -457,7 +457,7 @@ def path_node(batch: Batch, path: Path, unit: int, step: int) -> int:
     return int(batch.start_node[unit]) if step == path.bounds[unit] else int(batch.lattice.to[path.edges[step - 1]])
 
 
-def _sampler(model: str, k: int, alpha: float):
+def _sampler(model: str, k: int, alpha: float, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(model, alpha)
         for rows in batches:
@@ -468,24 +468,26 @@ def _sampler(model: str, k: int, alpha: float):
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 flat = np.concatenate([np.zeros(0, dtype=np.int64), *ids]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+                texts = [pa.array([v.decode(x.tolist()) for x in ids], pa.string())] if decode else []
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), lists, pa.array(logp), pa.array(perturbed), pa.array(inclusion)],
-                    names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion"],
+                    [part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), lists, pa.array(logp), pa.array(perturbed), pa.array(inclusion), *texts],
+                    names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["decoded"] if decode else [])],
                 )
 
     return run
 
 
-def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sample_segmentations(docs: DataFrame, model: str, k: int = SAMPLES, alpha: float = ALPHA, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", decode: bool = False) -> DataFrame:
     """doc_id, sample (from 0), ids, log_prob, perturbed, log_inclusion: up to k distinct segmentations of each text.
 
     Samples come by falling perturbed log probability.  A text with fewer than k segmentations has them all, with
     inclusion 0; an empty text has one, without ids; a null text none.  Rows alike in id and text have the same
     samples each (scores up to rounding); a null id is a key like others.  An empty table gives an empty one.  Other columns aren't read.
+    decode: with a column decoded, the text that the ids give.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(F.lit(seed), docs[doc_id], docs[text]).alias("key"), docs[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sampler(model, k, alpha), f"doc_id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(_sampler(model, k, alpha, decode), f"doc_id {kind}, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double" + ", decoded string" * decode)
 
 
 def decoded(model: str):

@@ -18,7 +18,8 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    """Each sample's ids, and the text that they decode to."""
+    return piece_sampling.sample_segmentations(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model", decode=True)
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
