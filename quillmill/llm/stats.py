@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.textbatch import Words, slices
 
-#: Words are counted in 2**DF_BITS buckets by hash.
-DF_BITS = 18
+#: Words are counted in 2**DF_BITS buckets by hash; what words of one bucket have in common is a count that is too high.
+DF_BITS = 22
+#: Words that a task collects before it counts them.
+_PENDING = 2_000_000
 
 _HASH = np.uint64((1 << 48) - 1)
 
 
 def bucket(features: np.ndarray) -> np.ndarray:
-    return (features & np.uint64((1 << DF_BITS) - 1)).astype(np.int64)
+    return (features >> np.uint64(48 - DF_BITS)).astype(np.int64)
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,12 +48,18 @@ class Frequencies:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n, total = np.zeros(1 << DF_BITS, dtype=np.int64), 0, 0
+    parts: list[np.ndarray] = []
     for batch in batches:
         for a, b in slices(batch.column(0)):
             f, tf, bounds = features(batch.column(0).slice(a, b - a))
-            df += np.bincount(bucket(f), minlength=1 << DF_BITS)
+            parts.append(bucket(f))
             n += int((np.diff(bounds) > 0).sum())
             total += int(tf.sum())
+            if sum(map(len, parts)) > _PENDING:
+                df += np.bincount(np.concatenate(parts), minlength=1 << DF_BITS)
+                parts = []
+    if parts:
+        df += np.bincount(np.concatenate(parts), minlength=1 << DF_BITS)
     at = np.flatnonzero(df)
     if n:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(df[at], [n, total]))], names=["bucket", "df"])
@@ -61,6 +69,6 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
     """Counted over all documents in one pass; what reaches the driver is at most a row for each bucket."""
     rows = docs.select(docs[text].alias("text")).mapInArrow(_count, "bucket int, df bigint").groupBy("bucket").agg(F.sum("df").alias("df")).toArrow()
     at, count = rows.column("bucket").to_numpy(), rows.column("df").to_numpy()
-    df = np.zeros(1 << DF_BITS)
+    df = np.zeros(1 << DF_BITS, dtype=np.float32)
     df[at[at >= 0]] = count[at >= 0]
     return Frequencies(df, int(count[at == -1].sum()), int(count[at == -2].sum()))
