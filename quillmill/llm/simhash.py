@@ -131,11 +131,11 @@ def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_table(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, k (text key), hi, lo, keys: written once, one row for each row of docs that has words."""
+    """doc_id, k (text key), n (distinct words), hi, lo, keys: written once, one row for each row of docs."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(document_frequencies(docs, text).idf())
     rows = docs.select(docs[doc_id].alias("doc_id"), text_key(docs[text]).alias("k"), _fingerprinter(weights)(docs[text]).alias("f"))
-    return cut(rows.where("f.n > 0").select("doc_id", "k", "f.hi", "f.lo", "f.keys"))
+    return cut(rows.select("doc_id", "k", "f.n", "f.hi", "f.lo", "f.keys"))
 
 
 def candidates(sigs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def groups(prints: DataFrame) -> DataFrame:
     """doc_id, k, keeper (struct doc_id, k): for each document of a fingerprint table that has near-duplicates, the one of them with the least id."""
-    me = F.struct("doc_id", "k")
+    prints, me = prints.where("n > 0"), F.struct("doc_id", "k")
     sigs = cut(prints.groupBy("hi", "lo").agg(F.min(me).alias("first"), F.min_by("keys", me).alias("keys")))
     roots = components(links(sigs))
     named = sigs.select(F.struct("hi", "lo").alias("node"), "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
@@ -185,8 +185,8 @@ def simhash_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     """doc_id, keeper_id: each document that goes, with the one of its group that stays (the least doc_id).
 
     Groups are what near-duplicate pairs connect.  Texts that are null, empty or without words are in no group.
-    Rows that have both id and text in common are one document, of which nothing is said here unless it goes;
-    then it is named once.  A null id counts as the least.  An empty table gives an empty one; no other column is
+    Very long texts are taken whole.  Rows that have both id and text in common are one document, of which nothing is
+    said here unless it goes; then it is named once.  A null id counts as the least.  An empty table gives an empty one; no other column is
     read.
     """
     rows = groups(fingerprint_table(docs, text, doc_id))
@@ -194,7 +194,11 @@ def simhash_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs without the documents that go, all columns kept; of rows alike in id and text one stays."""
+    """docs without the documents that go, all columns kept; of rows alike in id and text one stays, whatever the text.
+
+    Null and empty texts are in no group, so they go only as such repeats; very long texts are taken whole; an empty
+    table stays empty; other columns may have any name.
+    """
     prints = fingerprint_table(docs, text, doc_id)
     gone_id, gone_k = fresh(docs.columns, "gone_id", "gone_k")
     gone = groups(prints).where(F.struct("doc_id", "k") != F.col("keeper")).select(F.col("doc_id").alias(gone_id), F.col("k").alias(gone_k)).distinct()
