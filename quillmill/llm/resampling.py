@@ -1,10 +1,12 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams: one of target texts (those labelled good and not toxic), one of the raw corpus.  A
-document's log weight is the log ratio of its probability under them, the sum over its n-grams, where the raw model
-is counted without the document itself (in a small corpus it would else speak against itself); adding Gumbel noise
-and taking the k greatest sums samples k documents without replacement in proportion to their weights.  k is the
-number of documents that are at most ODDS times less likely under the target model than under the raw one.
+document's log weight is the log ratio of its probability under them, where the raw model is counted without the
+document itself (in a small corpus it would else speak against itself), and an n-gram counts as its mean in a text of
+SPAN n-grams if there are more, so that weights of texts of any length are of a size with the noise.  Adding Gumbel
+noise and taking the k greatest sums samples k documents without replacement in proportion to their weights.  k may
+be given; else it is the number of documents that are at most ODDS times less likely under the target model than
+under the raw one.
 
 n-grams are single tokens and pairs of tokens, tokens are words and runs of punctuation without regard to case.
 
@@ -30,8 +32,10 @@ from quillmill.llm.textbatch import Words, doc_sums, mix, slices
 BUCKETS = 1 << 14
 #: Bound on the labelled documents that the target model is fitted on.
 MAX_LABELLED = 20_000
-#: Pseudo-counts in each bucket of both models, so that what the target texts were too few to show counts little.
-SMOOTHING = 1000.0
+#: Pseudo-counts in each bucket of both models, in mean counts of the target's buckets, so that what the target texts were too few to show counts little.
+SMOOTHING = 2.0
+#: n-grams of a text that count in full.
+SPAN = 100
 ODDS = 20.0
 SEED = 20_240
 
@@ -86,14 +90,17 @@ def models(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def log_weights(column: pa.Array, counts: np.ndarray) -> np.ndarray:
     target, raw = counts
     share = target.sum() / max(1.0, raw.sum())
+    extra = max(SMOOTHING * target.sum() / BUCKETS, 1e-9)
     g, bounds = grams(column)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     key = np.sort((doc * (2 * BUCKETS) + g)[g < BUCKETS])
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, dtype=np.int64)
     own = np.diff(np.append(at, len(key)))
     b, d = key[at] % (2 * BUCKETS), key[at] // (2 * BUCKETS)
-    ratio = np.log((target[b] + SMOOTHING) / (np.maximum(raw[b] - own, 0) * share + SMOOTHING))
-    return doc_sums(own * ratio, np.searchsorted(d, np.arange(len(bounds))))
+    ratio = np.log((target[b] + extra) / (np.maximum(raw[b] - own, 0) * share + extra))
+    at = np.searchsorted(d, np.arange(len(bounds)))
+    n = doc_sums(own, at)
+    return doc_sums(own * ratio, at) * np.minimum(n, SPAN) / np.maximum(n, 1)
 
 
 def _weigher(counts):
@@ -126,14 +133,16 @@ def kth_greatest(rows: DataFrame, column: str, k: int) -> float:
         low, high = a, b
 
 
-def weighted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
+def weighted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, sample_key (log weight plus Gumbel noise), keep: one row for each row of docs.
 
     The noise is seeded by id and text, so that rows alike in both are kept or not kept together; ties at the k-th
-    key are all kept.  A null or empty text has log weight 0.  A null id stays null.  Without good labels all weights
-    are 0 and all documents kept.  An empty table gives an empty one.
+    key are all kept.  A null or empty text has log weight 0; very long texts are weighed whole.  A null id stays null.
+    Without good labels all weights are 0 and, unless k is given, all documents kept.  An empty table gives an empty
+    one.  Other columns aren't read.
     """
-    return _decided(cut(_weights(docs, labels, text, doc_id, seed).select("doc_id", "log_weight", "sample_key")))
+    rows = cut(_weights(docs, labels, text, doc_id, seed).select("doc_id", "log_weight", "sample_key"))
+    return rows.withColumn("keep", F.col("sample_key") >= F.lit(_threshold(rows, k)))
 
 
 def _gumbel(docs: DataFrame, text: str, doc_id: str, seed: int):
@@ -148,18 +157,18 @@ def _weights(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, seed: i
     return rows.select("doc_id", "k", "log_weight", (F.col("log_weight") + F.col("noise")).alias("sample_key"))
 
 
-def _threshold(rows: DataFrame) -> float:
-    k = rows.where(F.col("log_weight") >= -math.log(ODDS)).count()
+def _threshold(rows: DataFrame, k: int | None) -> float:
+    """The k-th greatest key: with fewer rows than k, a key below all."""
+    if k is None:
+        k = rows.where(F.col("log_weight") >= -math.log(ODDS)).count()
+    elif k >= rows.count():
+        return float("-inf")
     return kth_greatest(rows, "sample_key", k)
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("keep", F.col("sample_key") >= F.lit(_threshold(rows)))
-
-
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """The rows of docs that weighted() keeps, with all their columns."""
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, k: int | None = None) -> DataFrame:
+    """The rows of docs that weighted() keeps, with all their columns, whatever their names."""
     rows = cut(_weights(docs, labels, text, doc_id, seed))
     gone_id, gone_k = fresh(docs.columns, "gone_id", "gone_k")
-    gone = rows.where(F.col("sample_key") < F.lit(_threshold(rows))).select(F.col("doc_id").alias(gone_id), F.col("k").alias(gone_k)).distinct()
+    gone = rows.where(F.col("sample_key") < F.lit(_threshold(rows, k))).select(F.col("doc_id").alias(gone_id), F.col("k").alias(gone_k)).distinct()
     return docs.join(gone, docs[doc_id].eqNullSafe(F.col(gone_id)) & (F.xxhash64(docs[text]) == F.col(gone_k)), "left_anti")

@@ -328,7 +328,7 @@ def test_resampling_weights(spark):
         raw += own[-1]
     target = own[0]
     assert all(counts[0][b] == target[b] and counts[1][b] == n for b, n in raw.items()) and counts.sum() == sum(raw.values()) + sum(target.values())
-    share, s = sum(target.values()) / sum(raw.values()), resampling.SMOOTHING
+    share, s = sum(target.values()) / sum(raw.values()), resampling.SMOOTHING * sum(target.values()) / resampling.BUCKETS
     want = [sum(n * math.log((target[b] + s) / ((raw[b] - n) * share + s)) for b, n in c.items()) for c in own]
     assert len(raw) == 6 and resampling.log_weights(pa.array(texts), counts).tolist() == pytest.approx(want, rel=1e-9, abs=1e-12)
 
