@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import embedding_dedup, license_scan, packing, piece_sampling, recompression, repetition, resampling, resharding, simhash, token_cache
-from quillmill.llm.common import table
+from quillmill.llm.common import shared_dir, table
 
 TOKENIZERS = "/opt/tokenizers"
 
@@ -35,7 +35,11 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_cache.token_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    """All documents are counted by a cache to which an earlier run over those with even ids has appended."""
+    docs, cache = table(spark, sf_dir, "documents"), shared_dir(spark) + "/token-cache"
+    vocabulary = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    token_cache.token_counts(docs.where("doc_id % 2 = 0"), vocabulary, cache)
+    return token_cache.token_counts(docs, vocabulary, cache)
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

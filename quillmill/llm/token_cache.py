@@ -7,7 +7,8 @@ appends those counts and answers everything from the cache.
 
 Scale: only digests and ids are shuffled for the lookups; a text is moved once, and only if its digest is a
 miss.  Appending is one Parquet write, whose commit leaves no half-written rows; should two runs append the same
-digest, reading takes one.
+digest, reading takes one.  Each file holds counts of one tokenizer, so that a scan passes over the files of others
+by their statistics.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def read_cache(spark, cache_path: str, version: str) -> DataFrame:
 def token_counts(docs: DataFrame, vocabulary: str, cache_path: str | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_tokens: one row for each row of docs.
 
-    A null text has a null count, an empty one 0.  Equal texts, repeated rows among them, are encoded once.  A
+    A null text has a null count, an empty one 0; very long texts are encoded whole.  Equal texts, repeated rows among them, are encoded once.  A
     null id stays null.  An empty table gives an empty one and leaves the cache as it was.  Other columns aren't
     read.  Strings that look like special tokens are counted as ordinary text.
     """
