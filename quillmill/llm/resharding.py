@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import fresh, shared_dir
 
 BLOCK_BITS = 8
-#: Transfers are broadcast up to so many, joined by shuffle beyond.
+#: Transfers, and shards, are broadcast up to so many, joined by shuffle beyond.
 BROADCAST_TRANSFERS = 100_000
+#: Bytes of text that come to one shard and are written by one task.
+FILE_BYTES = 64_000_000
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], s: int, t: int) -> list[int]:
@@ -167,7 +169,7 @@ def reshard(docs: DataFrame, shard: Column, capacities: dict[str, int] | Callabl
     a folder for each new shard, with all their columns; rows of the others stay in the files they are in.
 
     A null shard is the shard ''; null and empty texts have no bytes and stay, unless nothing of their shard does.
-    Rows alike in id and text stay together.  An empty table gives an empty one.  Too little capacity is an error.
+    Very long texts move whole.  Rows alike in id and text stay together.  An empty table gives an empty one.  Too little capacity is an error.
     """
     spark = docs.sparkSession
     out_path = out_path or shared_dir(spark) + "/shards"
@@ -179,31 +181,32 @@ def reshard(docs: DataFrame, shard: Column, capacities: dict[str, int] | Callabl
     capacities = capacities(sizes) if callable(capacities) else capacities
     moves = transfers(sizes, capacities)
     ranges = _key_ranges(rows.where("bytes > 0"), moves) if moves else []
-    gone = [x for x in sizes if x not in capacities]  # all that is left of them goes with their last transfer
-    home = {a: b for a, b, _, _ in moves}
-    homeless = [x for x in gone if x not in home]
-    p_from, p_to, low, high, first = fresh(marked.columns, "plan_from", "plan_to", "low", "high", "first")
+    home = {a: b for a, b, _, _ in moves}  # all that is left of a shard that goes goes with its last transfer
+    homes = {x: x if x in capacities else home.get(x) or min(capacities) for x in sizes}
+    touched = {x for a, b, _, _ in moves for x in (a, b)} | {x for x in sizes if x not in capacities}
+    coming: dict[str, int] = {}
+    for _, b, lo, hi in moves:
+        coming[b] = coming.get(b, 0) + hi - lo
+    s_old, s_home, s_touched, p_from, p_to, low, high, first, files = fresh(marked.columns, "plan_shard", "home", "touched", "plan_from", "plan_to", "low", "high", "first", "files")
+    shards = spark.createDataFrame([(x, homes[x], x in touched) for x in sizes], f"`{s_old}` string, `{s_home}` string, `{s_touched}` boolean")
+    shards = F.broadcast(shards) if len(sizes) <= BROADCAST_TRANSFERS else shards
     plan = spark.createDataFrame(
-        [(a, b, lo if lo is not None else -(1 << 63), hi, lo is None) for a, b, lo, hi in ranges],
-        f"`{p_from}` string, `{p_to}` string, `{low}` bigint, `{high}` bigint, `{first}` boolean",
+        [(a, b, lo if lo is not None else -(1 << 63), hi, lo is None, -(-coming[b] // FILE_BYTES)) for a, b, lo, hi in ranges],
+        f"`{p_from}` string, `{p_to}` string, `{low}` bigint, `{high}` bigint, `{first}` boolean, `{files}` bigint",
     )
     plan = F.broadcast(plan) if len(ranges) <= BROADCAST_TRANSFERS else plan
     inside = (F.col(old) == F.col(p_from)) & (F.col(key) <= F.col(high)) & (F.col(first) | (F.col(key) > F.col(low))) & (F.octet_length(F.col(text)) > 0)
-    stays = F.when(F.col(old).isin(gone), F.lit(None)).otherwise(F.col(old)) if gone else F.col(old)
-    rest = F.lit(None).cast("string")
-    for x in gone:
-        rest = F.when(F.col(old) == x, F.lit(home.get(x) or min(capacities))).otherwise(rest)
-    placed = marked.join(plan, inside, "left").withColumn(to, F.coalesce(F.col(p_to), stays, rest)).drop(p_from, p_to, low, high, first)
-    touched = sorted({x for a, b, _, _ in moves for x in (a, b)} | set(homeless))
-    changed = placed.where(F.col(old).isin(touched)) if touched else placed.limit(0)
+    known = marked.join(shards, F.col(old) == F.col(s_old))
+    changed = known.where(F.col(s_touched)).join(plan, inside, "left").withColumn(to, F.coalesce(F.col(p_to), F.col(s_home))).drop(s_old, s_home, s_touched, p_from, p_to, low, high, first)
     moved = F.col(to) != F.col(old)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    changed.where(~moved).drop(key).write.mode("append").partitionBy(to).parquet(out_path)
-    changed.where(moved).drop(key).repartition(n, to).write.mode("append").partitionBy(to).parquet(out_path)
+    changed.where(~moved).drop(key, files).write.mode("append").partitionBy(to).parquet(out_path)
+    # a shard that many bytes come to is written by several tasks
+    changed.where(moved).repartition(n, F.col(to), F.pmod(F.col(key), F.coalesce(F.col(files), F.lit(1)))).drop(key, files).write.mode("append").partitionBy(to).parquet(out_path)
 
     def layout(df: DataFrame) -> DataFrame:
         return df.select(F.col(doc_id).alias("doc_id"), F.col(old).alias("old_shard"), F.col(to).alias("new_shard"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"))
 
-    written = spark.read.schema(changed.drop(key).schema).parquet(out_path)
-    kept = marked.where(~F.col(old).isin(touched)) if touched else marked
+    written = spark.read.schema(changed.drop(key, files).schema).parquet(out_path)
+    kept = known.where(~F.col(s_touched))
     return layout(written).union(layout(kept.withColumn(to, F.col(old))))
