@@ -41,18 +41,16 @@ MAX_EDGES = 4_000_000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-_TABLE_BITS = 20
-
-
-def _table(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Open hash table of 64-bit hashes, with room for runs at its end."""
-    slots, slot_id = np.zeros((1 << _TABLE_BITS) + 1024, dtype=np.uint64), np.full((1 << _TABLE_BITS) + 1024, -1, dtype=np.int32)
+def _table(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Open hash table of 64-bit hashes, at most a quarter full, with room for runs at its end; the bits that choose a slot."""
+    bits = max(20, (4 * len(h)).bit_length())
+    slots, slot_id = np.zeros((1 << bits) + 1024, dtype=np.uint64), np.full((1 << bits) + 1024, -1, dtype=np.int32)
     for x, i in zip(h.tolist(), ids.tolist(), strict=True):
-        at = x >> (64 - _TABLE_BITS)
+        at = x >> (64 - bits)
         while slots[at]:
             at += 1
         slots[at], slot_id[at] = x, i
-    return slots, slot_id
+    return slots, slot_id, bits
 
 
 class Pieces:
@@ -98,13 +96,13 @@ class Pieces:
         flat = np.frombuffer(b"".join(prefixes), dtype=np.uint8)
         ends = np.cumsum([len(p) for p in prefixes])
         h = segment_hash(flat, ends - [len(p) for p in prefixes], ends)
-        self.slots, self.slot_id = _table(h, np.array(list(prefixes.values()), dtype=np.int32))
+        self.slots, self.slot_id, self.bits = _table(h, np.array(list(prefixes.values()), dtype=np.int32))
         self.inside = inside.ravel()
         self.store = Store()
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each hash is that of a prefix, and the piece that the prefix is, or -1."""
-        at = (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         there = self.slots[at]
         on = np.flatnonzero((there != h) & (there != 0))
         while len(on):
@@ -255,7 +253,7 @@ class Batch:
         raw, offsets = text_bytes(column)
         size = np.diff(offsets)
         full = size > 0
-        # a space before each text that isn't empty; a written word mark is a space as well
+        # a space before each text that isn't empty; a written word mark is no space but is spelled in bytes, so that texts decode to themselves
         self.offsets = np.concatenate(([0], np.cumsum(size + full)))
         data = np.full(self.offsets[-1], 32, dtype=np.uint8)
         shift = np.repeat(self.offsets[:-1] + full - offsets[:-1], size)
