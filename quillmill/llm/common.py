@@ -21,12 +21,14 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that the session names; where it names none (tests), in a local one that is then set."""
+    """A new folder name in the shared folder that the session names; where a local session names none (tests), in a folder of its own, which is then set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not base and known.isDefined():
         base = known.get()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
     if not known.isDefined():
         spark.sparkContext.setCheckpointDir(base)

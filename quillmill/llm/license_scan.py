@@ -259,7 +259,7 @@ def _may_match(text: Column, templates: dict[str, str]) -> Column:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, license_id, first_token: each license whose template a text holds, with the place of its first match.
 
-    Null and empty texts hold none.  Repeated rows give their matches each; a null id stays null; an empty table
+    Null and empty texts hold none; very long texts are scanned whole.  Repeated rows give their matches each; a null id stays null; an empty table
     gives an empty one; other columns aren't read.  A text may match several templates.
     """
     templates = TEMPLATES if templates is None else templates

@@ -287,7 +287,7 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     A stretch is covered by windows of MIN_WORDS words that stand in an earlier place too, by document id and then
     position; source_id is the first document that holds the stretch's first window.  Repeats inside one document
-    count.  Null, empty and shorter texts have none.  Rows alike in id and text are one document, in which nothing
+    count.  Null, empty and shorter texts have none; very long texts are taken whole.  Rows alike in id and text are one document, in which nothing
     repeats for that; rows with one id and different texts are ordered by a digest of the text.  A null id is the
     least.  An empty table gives an empty one.  Only id and text are read.
     """
