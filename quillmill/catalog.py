@@ -22,6 +22,7 @@ from quillmill.operators import corpus as COR
 from quillmill.operators import entities as ENT
 from quillmill.operators import judge as J
 from quillmill.operators import rules as R
+from quillmill.plans.expansion import shared_folder
 from quillmill.plans.search import predicate
 from quillmill.sources import contacts as CON
 from quillmill.sources import payload as PAY
@@ -301,11 +302,11 @@ def normalised_names(spark, sf):
 
 
 @query(
-    r"SELECT message_id, trim(regexp_replace(regexp_replace(trim(subject), '(?i)^\s*(updated invitation:?|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*', ''), '\s+@\s+[A-Za-z]+\s+[A-Za-z]+\s+\d+;.*$', '')) AS title FROM mail"
+    r"SELECT message_id, trim(regexp_replace(regexp_replace(trim(translate(subject, ';', ',')), '(?i)^\s*(updated invitation:?|cancell?ed( event)?:|accepted:|tentative:|declined:|invitation:|reminder:)\s*', ''), '\s+@\s+[A-Za-z]+\s+[A-Za-z]+\s+\d+, \d{4}.*$', '')) AS title FROM mail"
 )
 def event_titles(spark, sf):
     m = derived(spark, sf, MAIL)
-    return m.select("message_id", F.regexp_replace(T.event_title(m["subject"]), r"\s+@\s+[A-Za-z]+\s+[A-Za-z]+\s+\d+;.*$", "").alias("title"))
+    return m.select("message_id", T.event_title(F.translate(m["subject"], ";", ",")).alias("title"))
 
 
 @query(
@@ -372,7 +373,10 @@ def token_bags(spark, sf):
     return c.select("conv_id", "turn", F.array_join(T.token_bag(c["text"]), " ").alias("bag"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN trim(substr(text, 1, 200)) || '...' ELSE trim(text) END AS snippet FROM documents")
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) > 200 THEN trim(substr(text, 1, 200), {_SPACE}) || '...' ELSE trim(text, {_SPACE}) END AS snippet FROM documents")
 def document_snippets(spark, sf):
     d = _table(spark, sf, "documents")
     return d.select("doc_id", T.snippet(d["text"], 200, "...").alias("snippet"))
@@ -403,11 +407,11 @@ def freshness_and_size(spark, sf):
     return e.select("event_id", T.freshness(e["value"] * 3).alias("freshness"), T.file_size(e["event_id"] * e["event_id"] * 7).alias("size"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 40")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def cosines(spark, sf):
+    """Each vector with the next."""
     e = _table(spark, sf, "embeddings")
-    a, b = e.alias("a"), e.alias("b")
-    pairs = a.where("vec_id < 40").join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    pairs = e.alias("a").join(e.alias("b"), F.col("a.vec_id") + 1 == F.col("b.vec_id"))
     return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(T.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("cosine"))
 
 
@@ -518,11 +522,8 @@ def one_entity_a_name(spark, sf):
 
 
 def _checkpoints(spark) -> None:
-    """The session's folder for checkpoints, or one of the tests' own."""
-    import tempfile
-
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmill-"))
+    """The session's folder for checkpoints, or, in a local session, one of the tests' own."""
+    shared_folder(spark)
 
 
 @query("SELECT CASE WHEN vec_id % 2 = 0 THEN 'q' ELSE 'n' END || ':' || vec_id % 100 AS key, max(vec_id) AS latest FROM embeddings GROUP BY 1")
@@ -575,7 +576,7 @@ def person_messages(spark, sf):
 @query(None)
 def ranked_candidates(spark, sf):
     _checkpoints(spark)
-    m = with_message_columns(derived(spark, sf, MAIL).where("CAST(substr(message_id, 2) AS BIGINT) % 10 = 0"))
+    m = with_message_columns(derived(spark, sf, MAIL))
     found = ENT.entities(m)
     best = CAND.ranked(m, found, CAN.identity_map(found), ["me@example.com"])
     return CAND.profile_members(CAND.without_self(CAND.excerpts(best, m), CAND.self_aliases(m, "Leo Kim", "me@example.com"))).select("name", "n_messages", "bidirectional", "personal_domain", "calendar")
@@ -793,7 +794,8 @@ def judged_candidates(spark, sf):
 def calendar_mail_persons(spark, sf):
     m = derived(spark, sf, MAIL)
     body = F.concat("body", F.lit("\nGuests: "), F.coalesce("from_addr", F.lit("")), F.lit("\nLeo Kim <leo@gmail.com>"))
-    return m.select("message_id", F.explode(CAL.calendar_persons(F.col("subject"), body)).alias("p")).select("message_id", "p.name", "p.email", "p.source", "p.strength", "p.signal")
+    p = CAL.mail_persons(m.select("message_id", "subject", body.alias("body")))
+    return p.select("message_id", "person.name", "person.email", "person.source", "person.strength", "person.signal")
 
 
 @query(None)

@@ -11,7 +11,8 @@ from quillmill.functions.names import clean_display, has_kinship_word, names_in_
 from quillmill.functions.text import event_title
 from quillmill.functions.vocabulary import EVIDENCE_DOMAINS
 
-_ENDS = ["Forwarding this invitation", "https://www." "google.com/calendar", "Unsubscribe ", "google.com/calendar/event?", "You are receiving this"]
+#: Where a calendar service's footer may begin; texts are cut at each in turn.
+_ENDS = ["Unsubscribe ", "You are receiving this", "Forwarding this invitation", "google.com/calendar/event?", "https://www.google.com/calendar"]
 _PERSON = "struct<name:string,email:string,source:string,event_title:string,strength:double,signal:string,words:array<string>>"
 
 
@@ -50,6 +51,16 @@ def calendar_persons(subject: Column, body: Column) -> Column:
     return let(event_title(subject), lambda title: let(names_in_title(title), lambda named: let(attendees(body), lambda guests: _merged(title, named, guests))))
 
 
+def mail_persons(messages: DataFrame) -> DataFrame:
+    """message_id, person: calendar_persons of the rows (message_id, subject, body), one row for each person.
+
+    Title, names and guests are columns of their own, each made once, before they are merged.
+    """
+    rows = messages.select("message_id", event_title(F.col("subject")).alias("title"), "body")
+    rows = rows.select("message_id", "title", names_in_title(F.col("title")).alias("titled"), attendees(F.col("body")).alias("invited"))
+    return rows.where("size(titled) + size(invited) > 0").select("message_id", F.explode(_merged(F.col("title"), F.col("titled"), F.col("invited"))).alias("person"))
+
+
 def _merged(title: Column, titled: Column, invited: Column) -> Column:
     family = has_kinship_word(title)
 

@@ -41,17 +41,32 @@ def correspondents(messages: DataFrame, user_emails: Iterable[str]) -> DataFrame
     )
 
 
+def holders(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """needle, message_id: which texts (message_id, low) hold which needles (needle, without white space); each pair once.
+
+    A needle lies inside one of a text's runs without white space.  The distinct runs meet the needles in a join by
+    up to three characters and are then checked, so that neither texts nor runs are compared with each needle.
+    """
+    runs = texts.select("message_id", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("run")).where("run <> ''")
+    at = F.sequence(F.lit(1), F.length("run"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("run"), i, F.lit(n)) for n in (1, 2, 3)]))))
+    keyed = needles.select("needle", F.substring("needle", 1, 3).alias("gram")).where("needle <> ''").distinct()
+    met = runs.select("run").distinct().select("run", F.explode(grams).alias("gram")).join(keyed, "gram").where(F.col("run").contains(F.col("needle"))).select("needle", "run")
+    return runs.join(met, "run").select("needle", "message_id").distinct()
+
+
 def correspondent_names(messages: DataFrame, emails: DataFrame) -> DataFrame:
     """email, name: the first display name that a sender with the address has, by message id, else one made of the address."""
     hits = messages.select("message_id", F.lower(F.coalesce("from_addr", F.lit(""))).alias("low"), sender_display(F.col("from_addr")).alias("display")).where("display <> ''")
-    first = hits.join(emails.select("email"), F.col("low").contains(F.col("email"))).groupBy("email").agg(F.min_by("display", "message_id").alias("display"))
+    met = holders(hits, emails.select(F.col("email").alias("needle"))).withColumnRenamed("needle", "email")
+    first = hits.join(met, "message_id").groupBy("email").agg(F.min_by("display", "message_id").alias("display"))
     return emails.select("email").join(first, "email", "left").select("email", F.coalesce("display", name_of_address(F.col("email"))).alias("name"))
 
 
 def correspondent_messages(messages: DataFrame, emails: DataFrame, limit: int = MAX_MESSAGES) -> DataFrame:
     """email, message_id, subject, snippet: the latest messages of each address, by date as text and then id."""
     rows = messages.select("message_id", "date", "subject", F.lower(F.concat_ws("\n", "from_addr", "to_addr")).alias("low"), strip(F.substring(clean_text(), 1, 300)).alias("snippet"))
-    hits = rows.join(emails.select("email"), F.col("low").contains(F.col("email")))
+    hits = rows.join(holders(rows, emails.select(F.col("email").alias("needle"))).withColumnRenamed("needle", "email"), "message_id")
     r = F.row_number().over(Window.partitionBy("email").orderBy(F.desc(F.coalesce("date", F.lit(""))), "message_id"))
     return hits.withColumn("r", r).where(F.col("r") <= limit).select("email", "message_id", "subject", "snippet", "r")
 
@@ -70,15 +85,14 @@ def calendar_hits(messages: DataFrame, persons: DataFrame, min_strength: float =
 def person_messages(messages: DataFrame, found: DataFrame) -> DataFrame:
     """label, message_id, extracted, in_header, in_body, personal: which messages speak of which person.
 
-    found: message_id, label.  Names are matched through their first word: headers and bodies are cut into words, so
-    that candidates meet messages in a join by word instead of each person in each message; what is joined so is then
-    checked as a substring.  A first word inside a longer word of a text is found by that word's beginnings only in
-    headers, where names are part of addresses.
+    found: message_id, label.  Messages meet the names whose first word they hold anywhere (see holders); headers and
+    bodies of those are then checked for the whole name.
     """
     labels = found.select("label").distinct().withColumn("first", F.lower(F.try_element_at(words(F.col("label")), F.lit(1)))).where("first IS NOT NULL")
     text = F.lower(clean_text())
     rows = messages.select("message_id", F.lower(F.concat_ws("\n", "from_addr", "to_addr")).alias("head"), text.alias("low"), any_personal(F.col("from_addr"), F.col("to_addr")).alias("personal"))
-    pairs = labels.join(rows, F.col("head").contains(F.col("first")) | F.col("low").contains(F.lower("label")))
+    met = holders(rows.select("message_id", F.concat_ws("\n", "head", "low").alias("low")), labels.select(F.col("first").alias("needle"))).withColumnRenamed("needle", "first")
+    pairs = labels.join(met, "first").join(rows, "message_id")
     in_header = F.col("head").contains(F.col("first")) & (~F.col("label").contains(" ") | F.col("head").contains(F.lower("label")))
     pairs = pairs.select("label", "message_id", in_header.alias("in_header"), F.col("low").contains(F.lower("label")).alias("in_body"), "personal").where("in_header OR in_body")
     own = found.select("label", "message_id").distinct().withColumn("extracted", F.lit(True))

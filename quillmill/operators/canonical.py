@@ -56,7 +56,7 @@ def identity_map(labels: DataFrame) -> DataFrame:
 
 
 def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """The vector table with new rows put in; of rows with one key the latest stays, of equally late ones the new."""
+    """The vector table with new rows put in; of rows with one key a new one stays, of several new ones, or several stored ones, the latest."""
     both = stored.withColumn("batch", F.lit(0)).unionByName(new.withColumn("batch", F.lit(1)))
     last = Window.partitionBy("key").orderBy(F.desc("batch"), F.desc("created_at"))
     return both.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r", "batch")

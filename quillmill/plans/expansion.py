@@ -45,11 +45,21 @@ class Result:
         return self.corpus.sparkSession.createDataFrame(self.iterations, ITERATION)
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillmill-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+def shared_folder(spark) -> str:
+    """The folder that all executors share; only a local session may name none, and gets one of its own."""
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+    if not known.isDefined():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def _folder(spark) -> str:
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
 
 
 def expand(

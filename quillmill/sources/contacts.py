@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.vocabulary import BIOGRAPHY_WORDS
+from quillmill.sources.remote import LIST_UNITS, Metrics, call
 
 STARRED, FAMILY = "contactGroups/starred", "contactGroups/family"
 PERSON = (
@@ -16,6 +17,19 @@ PERSON = (
 GROUP = "resourceName string, name string, formattedName string, memberCount int, groupType string"
 
 
+PAGE = 1000
+
+
+def list_contacts(service, metrics: Metrics) -> list[dict]:
+    """All contacts of a service whose list_page(size, token) gives a page of persons and the next one's token or None."""
+    out, token = [], None
+    while True:
+        page, token = call(lambda: service.list_page(PAGE, token), metrics, LIST_UNITS)
+        out += page
+        if not token:
+            return out
+
+
 def _clean(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("")))
 

@@ -126,12 +126,12 @@ def call(request: Callable[[], object], metrics: Metrics, units: int, refresh: C
     raise Fatal("attempts used up")
 
 
-def list_ids(service, query: str, limit: int, metrics: Metrics) -> list[str]:
-    """Up to limit ids that match; truncated only if the service had another page."""
+def list_ids(service, query: str, limit: int | None, metrics: Metrics) -> list[str]:
+    """The ids that match, up to limit if there is one; truncated only if the service had another page."""
     out: list[str] = []
     token = None
-    while len(out) < limit:
-        ids, token = call(lambda: service.list_page(query, min(PAGE, limit - len(out)), token), metrics, LIST_UNITS)
+    while limit is None or len(out) < limit:
+        ids, token = call(lambda: service.list_page(query, PAGE if limit is None else min(PAGE, limit - len(out)), token), metrics, LIST_UNITS)
         out += ids
         if not token:
             break
@@ -164,32 +164,108 @@ def get_messages(service, ids: list[str], metrics: Metrics, rounds: int = MAX_AT
             sleep(wait)
 
 
+@dataclass
+class Found:
+    """What a search of a service gives: messages, quota units, retries, whether more matched, errors in one line."""
+
+    query: str
+    hits: list[dict]
+    units: int = 0
+    retries: int = 0
+    truncated: bool = False
+    error: str | None = None
+
+
+class Searcher:
+    """Searches of one account's service: ids, a message, or both at once."""
+
+    def __init__(self, service, limit: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        self.service, self.limit, self.sleep = service, limit, sleep
+
+    def search(self, query: str) -> list[str]:
+        return list_ids(self.service, query, self.limit, Metrics())
+
+    def fetch(self, message_id: str) -> dict:
+        """A message by id; an error if there is none."""
+        metrics = Metrics()
+        for m in get_messages(self.service, [message_id], metrics, sleep=self.sleep):
+            return m
+        raise Fatal(metrics.error() or f"no message {message_id}")
+
+    def search_and_fetch(self, query: str) -> Found:
+        """The messages that match; one that can't be had is an error of the result, not of the call."""
+        metrics, hits = Metrics(), []
+        try:
+            hits = list(get_messages(self.service, list_ids(self.service, query, self.limit, metrics), metrics, sleep=self.sleep))
+        except Fatal as e:
+            metrics.errors.append(str(e))
+        return Found(query, hits, metrics.units, metrics.retries, metrics.truncated, metrics.error())
+
+
+class AccountSearcher:
+    """Searches over several accounts, which share the limit equally; what fails in one leaves the others' results."""
+
+    def __init__(self, services: dict[str, object], limit: int | None = None, sleep: Callable[[float], None] = time.sleep):
+        share = None if limit is None else max(1, limit // max(1, len(services)))
+        self.accounts = {name: Searcher(s, share, sleep) for name, s in services.items()}
+
+    def search(self, query: str) -> list[str]:
+        return [i for s in self.accounts.values() for i in s.search(query)]
+
+    def fetch(self, message_id: str) -> dict:
+        """From the first account that has it; else the last account's error."""
+        error: Exception = Fatal(f"no message {message_id}")
+        for s in self.accounts.values():
+            try:
+                return s.fetch(message_id)
+            except Fatal as e:
+                error = e
+        raise error
+
+    def search_and_fetch(self, query: str) -> Found:
+        """Messages with their account (source_account); sums, and errors with the account's name before each."""
+        out, errors = Found(query, []), []
+        for name, s in self.accounts.items():
+            got = s.search_and_fetch(query)
+            out.hits += [m | {"source_account": name} for m in got.hits]
+            out.units += got.units
+            out.retries += got.retries
+            out.truncated |= got.truncated
+            if got.error:
+                errors.append(f"[{name}] {got.error}")
+        out.error = "; ".join(errors) or None
+        return out
+
+
 @dataclass
 class IdBatch(InputPartition):
     ids: list[str]
 
 
 class MailSource(DataSource):
-    """spark.dataSource.register(...) of a subclass whose service() gives a service; options: query, limit, batch."""
+    """spark.dataSource.register(...) of a subclass whose service() gives a service; options: query, limit, batch.
+
+    Without a limit all that matches is read.  A message that can't be had is a row with its id and an error.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "quillmill_mail"
 
     def schema(self) -> str:
-        return "id string, threadId string, payload string"
+        return "id string, threadId string, payload string, error string"
 
     def service(self):
         raise NotImplementedError("a subclass gives the service")
 
     def reader(self, schema) -> DataSourceReader:
-        return MailReader(self.service(), self.options.get("query", ""), int(self.options.get("limit", "500")), int(self.options.get("batch", str(BATCH))))
+        return MailReader(self.service(), self.options.get("query", ""), int(self.options["limit"]) if "limit" in self.options else None, int(self.options.get("batch", str(BATCH))))
 
 
 class MailReader(DataSourceReader):
-    """Ids are listed on the driver; executors fetch a batch each."""
+    """Ids are listed on the driver, where an error ends the read; executors fetch a batch each."""
 
-    def __init__(self, service, query: str, limit: int, batch: int):
+    def __init__(self, service, query: str, limit: int | None, batch: int):
         self.mails, self.query, self.limit, self.batch = service, query, limit, batch
 
     def partitions(self) -> list[IdBatch]:
@@ -197,5 +273,9 @@ class MailReader(DataSourceReader):
         return [IdBatch(ids[i : i + self.batch]) for i in range(0, len(ids), self.batch)] or [IdBatch([])]
 
     def read(self, partition: IdBatch) -> Iterator[tuple]:
-        for m in get_messages(self.mails, partition.ids, Metrics()):
-            yield m.get("id"), m.get("threadId"), json.dumps(m.get("payload") or {})
+        metrics, left = Metrics(), dict.fromkeys(partition.ids)
+        for m in get_messages(self.mails, partition.ids, metrics):
+            left.pop(m.get("id"), None)
+            yield m.get("id"), m.get("threadId"), json.dumps(m.get("payload") or {}), None
+        for i in left:
+            yield i, None, None, metrics.error() or "attempts used up"
