@@ -58,7 +58,9 @@ def mail_persons(messages: DataFrame) -> DataFrame:
     """
     rows = messages.select("message_id", event_title(F.col("subject")).alias("title"), "body")
     rows = rows.select("message_id", "title", names_in_title(F.col("title")).alias("titled"), attendees(F.col("body")).alias("invited"))
-    return rows.where("size(titled) + size(invited) > 0").select("message_id", F.explode(_merged(F.col("title"), F.col("titled"), F.col("invited"))).alias("person"))
+    # explode_outer, as a filter that is derived from explode would make the array a second time
+    rows = rows.select("message_id", F.explode_outer(_merged(F.col("title"), F.col("titled"), F.col("invited"))).alias("person"))
+    return rows.where("person IS NOT NULL")
 
 
 def _merged(title: Column, titled: Column, invited: Column) -> Column:
