@@ -319,7 +319,7 @@ def event_titles(spark, sf):
 )
 def title_persons(spark, sf):
     p = derived(spark, sf, PEOPLE)
-    return p.select("id", F.explode(N.names_in_title(p["title"])).alias("x")).select("id", "x.name", "x.word", "x.detector")
+    return p.select("id", F.explode_outer(N.names_in_title(p["title"])).alias("x")).where("x IS NOT NULL").select("id", "x.name", "x.word", "x.detector")
 
 
 @query(

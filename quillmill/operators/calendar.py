@@ -116,7 +116,7 @@ def event_persons(events: DataFrame) -> DataFrame:
     """
     title = F.trim(F.coalesce("summary", F.lit("")))
     rows = events.select("event_id", title.alias("title"), has_kinship_word(title).alias("family"), "attendees")
-    found = rows.select("event_id", "title", F.explode(names_in_title(F.col("title"))).alias("x")).select(
+    found = rows.select("event_id", "title", F.explode_outer(names_in_title(F.col("title"))).alias("x")).where("x IS NOT NULL").select(
         F.lower("x.name").alias("key"), F.col("x.name").alias("name"), "title", "event_id", F.array_compact(F.array("x.word", F.when(F.col("x.detector") == "possessive_in_title", "possessive"))).alias("words")
     )
     named = found.groupBy("key").agg(F.min_by("name", "event_id").alias("name"), F.collect_set(F.nullif("title", F.lit(""))).alias("titles"), F.array_distinct(F.flatten(F.collect_list("words"))).alias("words"))

@@ -47,11 +47,11 @@ def holders(texts: DataFrame, needles: DataFrame) -> DataFrame:
     A needle lies inside one of a text's runs without white space.  The distinct runs meet the needles in a join by
     up to three characters and are then checked, so that neither texts nor runs are compared with each needle.
     """
-    runs = texts.select("message_id", F.explode(F.array_distinct(F.split("low", r"\s+"))).alias("run")).where("run <> ''")
+    runs = texts.select("message_id", F.explode_outer(F.array_distinct(F.split("low", r"\s+"))).alias("run")).where("run <> ''")
     at = F.sequence(F.lit(1), F.length("run"))
     grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(F.col("run"), i, F.lit(n)) for n in (1, 2, 3)]))))
     keyed = needles.select("needle", F.substring("needle", 1, 3).alias("gram")).where("needle <> ''").distinct()
-    met = runs.select("run").distinct().select("run", F.explode(grams).alias("gram")).join(keyed, "gram").where(F.col("run").contains(F.col("needle"))).select("needle", "run")
+    met = runs.select("run").distinct().select("run", F.explode_outer(grams).alias("gram")).join(keyed, "gram").where(F.col("run").contains(F.col("needle"))).select("needle", "run")
     return runs.join(met, "run").select("needle", "message_id").distinct()
 
 

@@ -39,7 +39,7 @@ def entities(messages: DataFrame, recogniser: Recogniser = capitalised_spans) ->
     kept = messages.where(~F.coalesce("is_bulk", F.lit(False))).select("message_id", "from_addr", "to_addr", clean_text().alias("text"))
 
     every = F.array_distinct(F.concat(addresses_in(F.col("text")), addresses_in(F.col("from_addr")), addresses_in(F.col("to_addr"))))
-    addresses = kept.select("message_id", F.explode(every).alias("a")).where(~is_inline_image(F.col("a")))
+    addresses = kept.select("message_id", F.explode_outer(every).alias("a")).where(F.col("a").isNotNull() & ~is_inline_image(F.col("a")))
     mails = addresses.select(*_entity("email", F.col("a"), F.col("a"), F.lit("high")))
 
     named = kept.select("message_id", sender_display(F.col("from_addr")).alias("raw")).where(sender_is_personal(F.col("raw")))
