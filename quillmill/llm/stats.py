@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.textbatch import Words, slices
+from quillmill.llm.textbatch import Words, give_back, slices
 
 #: Words are counted in 2**DF_BITS buckets by hash; what words of one bucket have in common is a count that is too high.
-DF_BITS = 22
+DF_BITS = 20
 #: Words that a task collects before it counts them.
-_PENDING = 2_000_000
+_PENDING = 500_000
 
 _HASH = np.uint64((1 << 48) - 1)
 
@@ -60,6 +60,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = []
     if parts:
         df += np.bincount(np.concatenate(parts), minlength=1 << DF_BITS)
+    parts = []
+    give_back()
     at = np.flatnonzero(df)
     if n:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(df[at], [n, total]))], names=["bucket", "df"])

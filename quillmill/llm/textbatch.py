@@ -6,13 +6,14 @@ A word is a run of bytes without ASCII white space.  Word hashes are prefix-sum
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in slices of about so many bytes, which bounds a worker's memory; one longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _WS = np.zeros(256, dtype=bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
@@ -79,6 +80,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that is done waits beside those that work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int]]:
     """(first row, last row + 1) of consecutive slices with about SLICE_BYTES of text each."""
     limit = limit or SLICE_BYTES
