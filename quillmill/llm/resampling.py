@@ -33,7 +33,7 @@ BUCKETS = 1 << 14
 #: Bound on the labelled documents that the target model is fitted on.
 MAX_LABELLED = 20_000
 #: Pseudo-counts in each bucket of both models, in mean counts of the target's buckets, so that what the target texts were too few to show counts little.
-SMOOTHING = 2.0
+SMOOTHING = 10.0
 #: n-grams of a text that count in full.
 SPAN = 100
 ODDS = 20.0
