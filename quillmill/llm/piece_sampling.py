@@ -31,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.llm.textbatch import SegmentHash, mix, segment_hash, slices, text_bytes
+from quillmill.llm.textbatch import SegmentHash, give_back, mix, segment_hash, slices, text_bytes
 
 SAMPLES, ALPHA, SEED = 2, 1.0, 97
-SLICE = 2_000_000
+#: Bytes of text that are sampled at once, which bounds a worker's memory; samples don't depend on it.
+SLICE = 500_000
 #: Edges of lattices that a worker keeps.
 MAX_EDGES = 4_000_000
 
@@ -222,7 +223,7 @@ class Store:
     def _append(self, name: str, values: np.ndarray) -> None:
         n, a = self._size[name], self._full[name]
         if n + len(values) > len(a):
-            self._full[name] = a = np.concatenate((a[:n], np.zeros(max(n, 2 * len(values)), dtype=a.dtype)))
+            self._full[name] = a = np.concatenate((a[:n], np.zeros(max(n // 4, len(values)), dtype=a.dtype)))
         a[n : n + len(values)] = values
         self._size[name] = n + len(values)
 
@@ -455,22 +456,27 @@ def path_node(batch: Batch, path: Path, unit: int, step: int) -> int:
     return int(batch.start_node[unit]) if step == path.bounds[unit] else int(batch.lattice.to[path.edges[step - 1]])
 
 
+def _sampled(v: Pieces, part: pa.RecordBatch, k: int, decode: bool) -> pa.RecordBatch:
+    """The samples of one slice; what they are made from is freed on return, before the next slice."""
+    keys = part.column(1).to_numpy().view(np.uint64)
+    text, number, ids, logp, perturbed, inclusion = sample(v, part.column(2), keys, k)
+    sizes = np.array([len(x) for x in ids], dtype=np.int64)
+    flat = np.concatenate([np.zeros(0, dtype=np.int32), *ids]).astype(np.int32, copy=False)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
+    texts = [pa.array([v.decode(x.tolist()) for x in ids], pa.string())] if decode else []
+    return pa.RecordBatch.from_arrays(
+        [part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), lists, pa.array(logp), pa.array(perturbed), pa.array(inclusion), *texts],
+        names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["decoded"] if decode else [])],
+    )
+
+
 def _sampler(model: str, k: int, alpha: float, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = pieces(model, alpha)
         for rows in batches:
             for a, b in slices(rows.column(2), SLICE):
-                part = rows.slice(a, b - a)
-                keys = part.column(1).to_numpy().view(np.uint64)
-                text, number, ids, logp, perturbed, inclusion = sample(v, part.column(2), keys, k)
-                sizes = np.array([len(x) for x in ids], dtype=np.int64)
-                flat = np.concatenate([np.zeros(0, dtype=np.int64), *ids]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-                texts = [pa.array([v.decode(x.tolist()) for x in ids], pa.string())] if decode else []
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(text)), pa.array(number.astype(np.int32)), lists, pa.array(logp), pa.array(perturbed), pa.array(inclusion), *texts],
-                    names=["doc_id", "sample", "ids", "log_prob", "perturbed", "log_inclusion", *(["decoded"] if decode else [])],
-                )
+                yield _sampled(v, rows.slice(a, b - a), k, decode)
+                give_back()
 
     return run
 
