@@ -18,6 +18,8 @@ SATURATED_SIZE, SOFT_SIZE = 50, 30
 BUSINESS_RECAP, BUSINESS_DROP, BUSINESS_EXPLOSION, BUSINESS_PUSHES = 0.85, 0.7, 20, 5
 BIAS_WINDOW, BIAS_POPS, BIAS_RECAP = 5, 3, 0.5
 PERSON_WINDOW, PARENT_POPS, EXHAUST_WINDOW = 8, 2, 3
+#: Digits to which averages, and the means of parents, are compared, so that the order of summation doesn't decide.
+AVERAGE_DIGITS, MEAN_DIGITS = 6, 9
 SEED, SEED_BUDGET, BUDGET, PERSONAL_BUDGET = "SEED", 5, 3, 5
 
 
@@ -97,11 +99,12 @@ def run_rules(iterations: DataFrame) -> DataFrame:
     business = is_business_parent(F.col("parent")).cast("int")
     full = F.count("*").over(_run(SATURATION_WINDOW)) == SATURATION_WINDOW
     average = F.avg("recap").over(_run(SATURATION_WINDOW))
+    near = F.round(average, AVERAGE_DIGITS)
     return iterations.select(
         "*",
         average.alias("average_recap"),
-        (full & (average > SATURATED_RECAP)).alias("saturated"),
-        (full & (F.sum(business).over(_run(BIAS_WINDOW)) >= BIAS_POPS) & (average > BIAS_RECAP)).alias("business_bias"),
+        (full & (near > SATURATED_RECAP)).alias("saturated"),
+        (full & (F.sum(business).over(_run(BIAS_WINDOW)) >= BIAS_POPS) & (near > BIAS_RECAP)).alias("business_bias"),
         F.when(F.max("new_messages").over(_run(EXHAUST_WINDOW)) == 0, "frontier_exhausted_no_yield").otherwise("frontier_exhausted_clean").alias("exhausted"),
     )
 
@@ -118,16 +121,17 @@ def saturated_parents(iterations: DataFrame, pending: DataFrame) -> DataFrame:
     """run, parent, mean_recap: pending parents that a saturated run prunes: those at or above the mean recapture of rank SATURATION_RANK.
 
     pending: run, parent, n_pending.  Only runs with more than SATURATED_SIZE pending queries and a saturated last
-    iteration are judged; personal parents stay.
+    iteration are judged; personal parents stay.  Parents with equal means are pruned, or stay, together.
     """
     last = run_rules(iterations).withColumn("r", F.row_number().over(Window.partitionBy("run").orderBy(F.desc("n")))).where("r = 1 AND saturated").select("run")
     large = pending.groupBy("run").agg(F.sum("n_pending").alias("size")).where(F.col("size") > SATURATED_SIZE).select("run")
     means = iterations.where(F.col("parent") != SEED).groupBy("run", "parent").agg(F.avg("recap").alias("mean_recap"))
     means = means.join(pending.select("run", "parent").distinct(), ["run", "parent"], "left_semi").join(last, "run", "left_semi").join(large, "run", "left_semi")
-    ranks = means.groupBy("run").agg(F.array_sort(F.collect_list("mean_recap")).alias("all"))
+    near = F.round("mean_recap", MEAN_DIGITS)
+    ranks = means.groupBy("run").agg(F.array_sort(F.collect_list(near)).alias("all"))
     at = F.least((F.size("all") * SATURATION_RANK).cast("int"), F.size("all") - 1)
     limits = ranks.select("run", F.get("all", at).alias("limit"))
-    return means.join(limits, "run").where((F.col("mean_recap") >= F.col("limit")) & ~is_personal_parent(F.col("parent"))).select("run", "parent", "mean_recap")
+    return means.join(limits, "run").where((near >= F.col("limit")) & ~is_personal_parent(F.col("parent"))).select("run", "parent", "mean_recap")
 
 
 def soft_saturated_runs(iterations: DataFrame, pending: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ class Frontier:
         if not self.pending:
             return None
         at = 0
-        if len(self._business_pops) == R.BIAS_WINDOW == len(self._recaps) and sum(self._business_pops) >= R.BIAS_POPS and sum(self._recaps) / R.BIAS_WINDOW > R.BIAS_RECAP:
+        if len(self._business_pops) == R.BIAS_WINDOW == len(self._recaps) and sum(self._business_pops) >= R.BIAS_POPS and round(sum(self._recaps) / R.BIAS_WINDOW, R.AVERAGE_DIGITS) > R.BIAS_RECAP:
             at = next((i for i, p in enumerate(self.pending) if not business(p.parent)), 0)
         if at:
             best = self.pending.pop(at)
@@ -175,14 +175,14 @@ class Frontier:
                 heapq.heapify(self.pending)
             if len(past) >= R.STREAK and min(past[-R.STREAK :]) > R.HIGH_RECAP and self.budgets.get(parent, 0) > 0:
                 self.budgets[parent] = 0
-        full = len(self._recaps) == R.SATURATION_WINDOW and sum(self._recaps) / R.SATURATION_WINDOW > R.SATURATED_RECAP
+        full = len(self._recaps) == R.SATURATION_WINDOW and round(sum(self._recaps) / R.SATURATION_WINDOW, R.AVERAGE_DIGITS) > R.SATURATED_RECAP
         if full and len(self.pending) > R.SATURATED_SIZE:
             self._prune_saturated()
         if full and len(self.pending) > R.SOFT_SIZE:
             self._skip = True
 
     def _prune_saturated(self) -> None:
-        means = {p: sum(h) / len(h) for p in {x.parent for x in self.pending} if (h := self.history.get(p))}
+        means = {p: round(sum(h) / len(h), R.MEAN_DIGITS) for p in {x.parent for x in self.pending} if (h := self.history.get(p))}
         if means:
             ranked = sorted(means.values())
             limit = ranked[min(int(R.SATURATION_RANK * len(ranked)), len(ranked) - 1)]
