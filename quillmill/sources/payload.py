@@ -35,24 +35,32 @@ def _decoded(s: Column) -> Column:
 
 
 def _parts(payload: str, depth: int) -> str:
-    """SQL for the parts of a payload (JSON text) as array<struct<place, json>>, in the order of a walk in depth; each level is read once."""
-    top = f"array(named_struct('place', array(0), 'json', {payload}))"
+    """SQL for the parts of a payload (JSON text) as array<struct<place, part>>, in the order of a walk in depth; each is read once."""
+    top = f"array(named_struct('place', array(0), 'part', {_read(payload)}))"
     below = (
-        "flatten(transform(s.level, p -> transform(coalesce(from_json(get_json_object(p.json, '$.parts'), 'array<string>'), array()), "
-        "(c, i) -> named_struct('place', concat(p.place, array(i)), 'json', c))))"
+        f"flatten(transform(s.level, p -> transform(coalesce(p.part.parts, array()), "
+        f"(c, i) -> named_struct('place', concat(p.place, array(i)), 'part', {_read('c')}))))"
     )
-    step = f"(s, n) -> get(transform(array({below}), x -> named_struct('level', x, 'every', concat(s.every, x))), 0)"
-    every = f"aggregate(sequence(1, {depth}), named_struct('level', {top}, 'every', {top}), {step}).every"
+    # what is kept of a level are its texts, as its parts are read for the next one
+    step = f"(s, n) -> get(transform(array({below}), x -> named_struct('level', x, 'every', concat(s.every, {_LEAVES}))), 0)"
+    every = f"get(transform(array({top}), x -> aggregate(sequence(1, {depth}), named_struct('level', x, 'every', {_LEAVES}), {step}).every), 0)"
     return f"array_sort({every}, (a, b) -> case when a.place < b.place then -1 when a.place > b.place then 1 else 0 end)"
 
 
+_PART = "mimeType string, body struct<data:string>, parts array<string>"
+_LEAVES = "transform(x, p -> named_struct('place', p.place, 'mime', p.part.mimeType, 'data', p.part.body.data))"
+
+
+def _read(json: str) -> str:
+    """SQL for one part, with strings of any length, which get_json_object has not."""
+    return f"from_json({json}, '{_PART}', map('maxStringLen', '2147483647'))"
+
+
 def body(payload: str = "payload") -> Column:
     """The text of all plain parts, else of all HTML parts, with blank lines between; payload is a column of JSON text."""
     texts = F.transform(
         F.expr(_parts(payload, DEPTH)),
-        lambda p: F.struct(
-            F.lower(F.coalesce(F.get_json_object(p["json"], "$.mimeType"), F.lit(""))).alias("mime"), decode_base64url(F.get_json_object(p["json"], "$.body.data")).alias("text")
-        ),
+        lambda p: F.struct(F.lower(F.coalesce(p["mime"], F.lit(""))).alias("mime"), decode_base64url(p["data"]).alias("text")),
     )
 
     def of(t: Column, kind: str) -> Column:
