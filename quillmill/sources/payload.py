@@ -71,16 +71,25 @@ def body(payload: str = "payload") -> Column:
 
 def header_map(headers: Column) -> Column:
     """Headers by lower-case name; of several the last counts, those without name or value don't."""
-    named = F.filter(F.coalesce(headers, F.array().cast(_HEADERS)), lambda h: (F.trim(F.coalesce(h["name"], F.lit(""))) != "") & h["value"].isNotNull())
-    keys = F.transform(named, lambda h: F.lower(F.trim(h["name"])))
-    last = F.filter(F.transform(named, lambda h, i: F.struct(F.lower(F.trim(h["name"])).alias("k"), h["value"].alias("v"), i.alias("i"))), lambda e: ~F.array_contains(F.slice(keys, e["i"] + 2, F.size(keys)), e["k"]))
-    return F.map_from_arrays(F.transform(last, lambda e: e["k"]), F.transform(last, lambda e: e["v"]))
+    named = F.filter(
+        F.transform(F.coalesce(headers, F.array().cast(_HEADERS)), lambda h: F.struct(F.lower(F.trim(F.coalesce(h["name"], F.lit("")))).alias("k"), h["value"].alias("v"))),
+        lambda e: (e["k"] != "") & e["v"].isNotNull(),
+    )
+
+    def last(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["k"])
+        return let(keys, lambda ks: F.filter(entries, lambda e, i: ~F.array_contains(F.slice(ks, i + 2, F.size(ks)), e["k"])))
+
+    return F.map_from_entries(let(named, last))
 
 
 def kept_headers(headers: Column) -> Column:
     """Those headers of a header_map that messages keep, by their usual names and in a fixed order."""
-    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), headers[k.lower()].alias("value")) for k in KEPT]), lambda e: e["value"].isNotNull())
-    return F.map_from_entries(pairs)
+
+    def kept(h: Column) -> Column:
+        return F.filter(F.array(*[F.struct(F.lit(k).alias("key"), h[k.lower()].alias("value")) for k in KEPT]), lambda e: e["value"].isNotNull())
+
+    return F.map_from_entries(let(headers, kept))
 
 
 def iso_date(date: Column) -> Column:
